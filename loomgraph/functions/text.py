@@ -79,3 +79,17 @@ def nfc(text: str | None) -> str | None:
 
 def nfc_col(c: Column) -> Column:
     return _mapped(nfc)(c)
+
+
+#: White space in the Unicode sense, as a character class of both Java and RE2.
+SPACE = r"[ \t\n\r\x{0B}\x{0C}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def strip(c: Column) -> Column:
+    """Outer white space removed, in the Unicode sense (trim() only knows the plain space)."""
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def strip_sql(c: str) -> str:
+    """The same in DuckDB."""
+    return f"regexp_replace({c}, '^{SPACE}+|{SPACE}+$', '', 'g')"
