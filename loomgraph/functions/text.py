@@ -57,7 +57,9 @@ def fold(text: str | None) -> str | None:
     return " ".join(text.lower().translate(_FOLD).split())
 
 
-def _mapped(fn):
+def text_udf(fn):
+    """Arrow UDF that maps a text function over a string column."""
+
     def run(v: pa.Array) -> pa.Array:
         return pa.array([fn(x) for x in v.to_pylist()], pa.string())
 
@@ -66,11 +68,11 @@ def _mapped(fn):
 
 
 def compare_key_col(c: Column) -> Column:
-    return _mapped(compare_key)(c)
+    return text_udf(compare_key)(c)
 
 
 def fold_col(c: Column) -> Column:
-    return _mapped(fold)(c)
+    return text_udf(fold)(c)
 
 
 def nfc(text: str | None) -> str | None:
@@ -78,7 +80,7 @@ def nfc(text: str | None) -> str | None:
 
 
 def nfc_col(c: Column) -> Column:
-    return _mapped(nfc)(c)
+    return text_udf(nfc)(c)
 
 
 #: White space in the Unicode sense, as a character class of both Java and RE2.
