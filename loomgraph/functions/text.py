@@ -30,12 +30,16 @@ def _letter_digit_mark(ch: str):
 
 
 def _folded(ch: str):
+    """Lower-case letters and digits without accents; marks and format characters vanish, all else is a space."""
     if unicodedata.category(ch) in ("Mn", "Me", "Cf"):
         return None
-    return ch if ch.isalnum() else " "
+    base = "".join(c for c in unicodedata.normalize("NFD", _BASE.get(ch, ch)) if unicodedata.category(c) not in ("Mn", "Me")).lower()
+    out = "".join(c for c in unicodedata.normalize("NFD", base) if unicodedata.category(c) not in ("Mn", "Me"))
+    return out if out and all(c.isalnum() for c in out) else "".join(c if c.isalnum() else " " for c in out) or " "
 
 
-_KEY, _FOLD, _D = _Keep(_letter_digit_mark), _Keep(_folded), str.maketrans({"đ": "d", "Đ": "D", "ð": "d", "ı": "i"})
+_BASE = {"đ": "d", "Đ": "D", "ð": "d", "ı": "i"}
+_KEY, _FOLD = _Keep(_letter_digit_mark), _Keep(_folded)
 
 
 def compare_key(text: str | None) -> str | None:
@@ -50,11 +54,7 @@ def compare_key(text: str | None) -> str | None:
 
 def fold(text: str | None) -> str | None:
     """Lower-case words of letters and digits without accents, joined by one space; đ becomes d. None stays None."""
-    if text is None:
-        return None
-    if not text.isascii():
-        text = unicodedata.normalize("NFD", text.translate(_D))
-    return " ".join(text.lower().translate(_FOLD).split())
+    return None if text is None else " ".join(text.translate(_FOLD).split())
 
 
 def text_udf(fn):
