@@ -1,7 +1,7 @@
 """Problem 3: evaluation questions that also stand in the training split.
 
 Method: Aho-Corasick automata over sharded, normalised evaluation passages scan all training texts. A passage is the folded question
-without courteous openings and closings. Four disjoint fragments of it, the rarest of its shard, are the automaton's
+without courteous openings and closings. Three disjoint fragments of it, the rarest of its shard, are the automaton's
 words: two mistyped letters cannot break all of them. Every training text of the passage's entity runs through the automaton
 once; for each passage hit, the intervals of its eight chunks found in the training text are merged into a coverage of the
 evaluation record, and pairs with enough coverage go to the exact check of words (lost accents, at most two mistyped letters, same
@@ -18,6 +18,7 @@ repeated member rows count once; texts are read whole; empty tables give empty r
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from difflib import SequenceMatcher
 
@@ -36,6 +37,8 @@ OPENINGS = [s.split() for s in ("hãy cho biết", "xin hỏi", "bạn ơi", "ch
 CLOSINGS = [s.split() for s in ("xin cho biết", "vậy", "thế", "nhỉ", "ạ", "với", "hả", "nhé", "vậy ạ", "thế ạ", "vậy nhỉ", "cảm ơn", "xin cảm ơn", "cảm ơn bạn", "được không", "hả bạn", "bạn nhỉ", "giúp tôi", "giúp mình")]
 ASKING = {"dau", "gi", "nao"}
 _SPLIT = _Keep(lambda ch: ch if ch.isalnum() or "̀" <= ch <= "ͯ" else None if ch in "­​‌‍⁠﻿" else " ")
+#: Fragment widths tried.
+_WIDTHS = (6, 5)
 _ROMAN = re.compile(r"[ivxlc]+$")
 
 
@@ -49,31 +52,44 @@ def split_name(c: Column) -> Column:
     )
 
 
+_PLAIN = _Keep(lambda ch: "d" if ch == "đ" else "".join(c for c in unicodedata.normalize("NFD", ch) if unicodedata.category(c) not in ("Mn", "Me")))
+
+
+def plain(text: str) -> str:
+    """Accents off, for text that is already in composed lower case."""
+    return text if text.isascii() else text.translate(_PLAIN)
+
+
 def words_of(text: str) -> list[str]:
     return nfc(text).lower().translate(_SPLIT).split()
 
 
+_OPEN = [(o, [plain(x) for x in o]) for o in sorted(OPENINGS, key=len, reverse=True)]
+_CLOSE = [(c, [plain(x) for x in c]) for c in sorted(CLOSINGS, key=len, reverse=True)]
+_FIRST, _LAST = {f[0] for _, f in _OPEN}, {f[-1] for _, f in _CLOSE}
+
+
 def core_words(text: str | None) -> list[str]:
     """Words of a question in composed lower case, without courteous openings and closings."""
     if text is None:
         return []
     w = words_of(text)
-    f = [fold(x) for x in w]
-    moved = True
-    while moved and w:
-        moved = False
-        for o in OPENINGS:
-            n = len(o)
-            if len(w) > n + 2 and (w[:n] == o or f[:n] == [fold(x) for x in o] and n > 1):
-                w, f, moved = w[n:], f[n:], True
-                break
-        for c in CLOSINGS:
+    while len(w) > 3 and plain(w[0]) in _FIRST:
+        f = [plain(x) for x in w[:6]]
+        o = next((o for o, fo in _OPEN if len(w) > len(o) + 2 and (w[: len(o)] == o or len(o) > 1 and f[: len(o)] == fo)), None)
+        if o is None:
+            break
+        w = w[len(o) :]
+    while len(w) > 3 and plain(w[-1]) in _LAST:
+        f = [plain(x) for x in w[-6:]]
+        for c, fc in _CLOSE:
             n = len(c)
-            if len(w) > n + 2 and (w[-n:] == c or (f[-n:] == [fold(x) for x in c] and f[-n - 1] in ASKING)):
-                if n == 1 and f[-n - 1] not in ASKING and c[0] in ("thế", "với"):
-                    continue
-                w, f, moved = w[:-n], f[:-n], True
+            asked = len(f) > n and f[-n - 1] in ASKING
+            if len(w) > n + 2 and ((w[-n:] == c and (asked or n > 1 or c[0] not in ("thế", "với"))) or (f[-n:] == fc and asked)):
+                w = w[:-n]
                 break
+        else:
+            break
     return w
 
 
@@ -101,7 +117,7 @@ def osa(a: str, b: str, most: int) -> int:
 
 def compare(a: list[str], b: list[str], most: int = 2) -> list[tuple[str, str]] | None:
     """None: another question. Else the word pairs that must be slips (none: same words up to lost accents)."""
-    fa, fb = [fold(x) for x in a], [fold(x) for x in b]
+    fa, fb = [plain(x) for x in a], [plain(x) for x in b]
     if [x for x in fa if any(c.isdigit() for c in x)] != [x for x in fb if any(c.isdigit() for c in x)]:
         return None
     cost, slips = 0, []
@@ -114,7 +130,7 @@ def compare(a: list[str], b: list[str], most: int = 2) -> list[tuple[str, str]]
         blocks += [(i, i + 1, j, j + 1) for m in SequenceMatcher(None, fa, fb, autojunk=False).get_matching_blocks() for i, j in zip(range(m.a, m.a + m.size), range(m.b, m.b + m.size)) if a[i] != b[j]]
     for i1, i2, j1, j2 in blocks:
         x, y = "".join(a[i1:i2]), "".join(b[j1:j2])
-        p, q = fold(x).replace(" ", ""), fold(y).replace(" ", "")
+        p, q = plain(x), plain(y)
         if any(c.isdigit() for c in x + y):
             if p != q:
                 return None
@@ -139,8 +155,8 @@ class Passages:
 
     def __init__(self, passages: list[str]):
         self.words = [p.split() for p in passages]
-        self.text = [fold(p).replace(" ", "") for p in passages]
-        grams = Counter(g for t in set(self.text) for g in {t[i : i + 6] for i in range(len(t) - 5)}) if len(passages) > 16 else None
+        self.text = [plain(p).replace(" ", "") for p in passages]
+        grams = Counter(g for t in set(self.text) for w in _WIDTHS for g in {t[i : i + w] for i in range(len(t) - w + 1)}) if len(passages) > 1 else None
         auto: dict[str, list[int]] = {}
         for k, t in enumerate(self.text):
             for s in self._fragments(t, grams):
@@ -154,56 +170,77 @@ class Passages:
 
     @staticmethod
     def _fragments(t: str, grams: Counter | None) -> list[str]:
+        """Three disjoint fragments, of which two mistyped letters leave one: the rarest of the shard, of the width that makes them rarest."""
         n = len(t)
-        if n == 0:
-            return []
-        if grams is None or n < 28:
-            step = max(1, n // 4)
-            return [t[i : i + step] for i in range(0, step * 4, step) if t[i : i + step]]
-        taken: list[int] = []
-        for i in sorted(range(n - 5), key=lambda i: grams[t[i : i + 6]]):
-            if all(abs(i - j) >= 6 for j in taken):
-                taken.append(i)
-                if len(taken) == 4:
-                    break
-        if len(taken) < 4:
-            return [t[i : i + n // 4] for i in range(0, n // 4 * 4, n // 4)]
-        return [t[i : i + 6] for i in taken]
-
-    def scan(self, text: str, least: float) -> list[tuple[int, float]]:
-        """(passage, coverage) of the passages that may stand in the text."""
+        if grams is None or n < 3 * max(_WIDTHS) + 2:
+            step = max(1, n // 3)
+            return [t[i : i + step] for i in range(0, step * 3, step) if t[i : i + step]]
+        best: tuple[int, list[str]] | None = None
+        for w in _WIDTHS:
+            df = [grams[t[i : i + w]] for i in range(n - w + 1)]
+            taken: list[int] = []
+            for i in sorted(range(len(df)), key=df.__getitem__):
+                if all(abs(i - j) >= w for j in taken):
+                    taken.append(i)
+                    if len(taken) == 3:
+                        break
+            if len(taken) == 3 and (best is None or sum(df[i] for i in taken) < best[0]):
+                best = sum(df[i] for i in taken), [t[i : i + w] for i in taken]
+        if best is None:
+            step = n // 3
+            return [t[i : i + step] for i in range(0, step * 3, step)]
+        return best[1]
+
+    def scan(self, text: str, least: float, slack: int = 2) -> list[tuple[int, float]]:
+        """(passage, coverage) of the passages that may stand in the text: merged intervals of their chunks found in it.
+
+        slack: passages whose length differs by more letters than may be mistyped are another question.
+        """
         if not self.any:
             return []
-        hits = {k for _, ks in self.auto.iter(text) for k in ks}
+        n = len(text)
         out = []
-        for k in hits:
+        for k in {k for _, ks in self.auto.iter(text) for k in ks}:
             t = self.text[k]
-            step = max(1, -(-len(t) // 8))
-            cover = sum(len(t[i : i + step]) for i in range(0, len(t), step) if t[i : i + step] in text) / len(t)
-            if cover >= least:
-                out.append((k, cover))
+            if abs(len(t) - n) > slack:
+                continue
+            if t == text:
+                out.append((k, 1.0))
+                continue
+            step = max(1, len(t) // 8)
+            lost, most = 0, (1 - least) * len(t)
+            for i in range(0, len(t), step):
+                piece = t[i : i + step]
+                if piece not in text:
+                    lost += len(piece)
+                    if lost > most:
+                        break
+            else:
+                out.append((k, 1 - lost / len(t)))
         return out
 
 
 def _scan_cell(pdf: pd.DataFrame) -> pd.DataFrame:
+    by: dict[str, tuple[list, list]] = {}
+    for entity, core, cid, is_eval in zip(pdf.entity, pdf.core, pdf.cid, pdf.is_eval):
+        by.setdefault(entity, ([], []))[0 if is_eval else 1].append((cid, core))
     rows = []
-    for _, g in pdf.groupby("entity", sort=False):
-        ev, tr = g[g.is_eval], g[~g.is_eval]
-        if ev.empty or tr.empty:
+    for ev, tr in by.values():
+        if not ev or not tr:
             continue
-        passages = Passages(list(ev.core))
-        ids = list(ev.cid)
-        for cid, core in zip(tr.cid, tr.core):
-            if not core:
-                continue
-            words = core.split()
-            for k, cover in passages.scan(fold(core).replace(" ", ""), 0.5):
-                if passages.text[k] and (slips := compare(passages.words[k], words)) is not None:
-                    rows.append((ids[k], cid, round(cover, 4), [{"a": a, "b": b} for a, b in slips]))
+        passages = Passages([core for _, core in ev])
+        for cid, core in tr:
+            found = passages.scan(plain(core).replace(" ", ""), 0.7)
+            if found:
+                words = core.split()
+                for k, cover in found:
+                    slips = compare(passages.words[k], words)
+                    if slips is not None:
+                        rows.append((ev[k][0], cid, round(cover, 4), [{"a": a, "b": b} for a, b in slips]))
     return pd.DataFrame(rows, columns=["eval_cid", "train_cid", "coverage", "slips"])
 
 
-def class_pairs(members: DataFrame, eval_block: int = 2000, train_block: int = 20_000, slip_ratio: float = 20.0) -> DataFrame:
+def class_pairs(members: DataFrame, eval_block: int = 20_000, train_block: int = 10_000, slip_ratio: float = 20.0) -> DataFrame:
     """(eval_cid, train_cid, coverage) of matching text classes. members: (qid, entity, core, cid, is_eval), see `membership`.
 
     eval_block, train_block: rows of one entity per block; slip_ratio: how many times rarer a mistyped word must be than the word it stands for.
