@@ -49,16 +49,20 @@ def declared(c: Column) -> Column:
     return F.coalesce(named, short)
 
 
+def _hashes(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every 4-gram of code points, and whether it holds no digit."""
+    h = (c[:-3] * np.uint32(2654435761)) ^ (c[1:-2] * np.uint32(2246822519)) ^ (c[2:-1] * np.uint32(3266489917)) ^ (c[3:] * np.uint32(668265263))
+    h ^= h >> np.uint32(15)
+    digit = (c >= 48) & (c <= 57)
+    return h, ~(digit[:-3] | digit[1:-2] | digit[2:-1] | digit[3:])
+
+
 def grams(folded: str) -> np.ndarray:
     """Buckets of the character 4-grams of a folded text, digits skipped."""
-    padded = " " + folded + " "
-    c = np.frombuffer(padded.encode("utf-32-le"), np.uint32)
+    c = np.frombuffer((" " + folded + " ").encode("utf-32-le"), np.uint32)
     if len(c) < 4:
         return np.empty(0, np.int64)
-    h = (c[:-3] * np.uint32(2654435761)) ^ (c[1:-2] * np.uint32(2246822519)) ^ (c[2:-1] * np.uint32(3266489917)) ^ (c[3:] * np.uint32(668265263))
-    h ^= h >> np.uint32(15)
-    digit = (c >= 48) & (c <= 57)
-    ok = ~(digit[:-3] | digit[1:-2] | digit[2:-1] | digit[3:])
+    h, ok = _hashes(c)
     return (h[ok] & np.uint32(BUCKETS - 1)).astype(np.int64)
 
 
@@ -121,30 +125,48 @@ def text_evidence(docs: DataFrame, counts: np.ndarray, margin: float = 12.0, min
         model = TextModel(counts)
         for b in batches:
             out: list[list] = [[] for _ in range(8)]
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for col, v in zip(out, (doc_id, *_document(model, text or "", margin, min_words))):
-                    col.append(v)
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                for doc_id, row in zip(part.column(0).to_pylist(), _documents(model, texts, margin, min_words)):
+                    for col, v in zip(out, (doc_id, *row)):
+                        col.append(v)
             types = [pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.float64()), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["doc_id", "ll", "n_grams", "seg_start", "seg_end", "seg_lang", "seg_conf", "langs"])
 
     return docs.select("doc_id", "text").mapInArrow(run, _EVIDENCE)
 
 
-def _document(model: TextModel, text: str, margin: float, min_words: int):
-    spans = sentences(text)
+def sentence_scores(model: TextModel, folded: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihoods and 4-gram counts of many folded sentences in one array pass; no 4-gram crosses a sentence."""
+    c = np.frombuffer(("\n" + "".join(" " + f + " \n" for f in folded)).encode("utf-32-le"), np.uint32)
+    h, ok = _hashes(c)
+    ok &= ~((c[:-3] == 10) | (c[1:-2] == 10) | (c[2:-1] == 10) | (c[3:] == 10))
+    owner = np.cumsum(c == 10)[:-3][ok] - 1
+    g = (h[ok] & np.uint32(BUCKETS - 1)).astype(np.int64)
+    lens = np.bincount(owner, minlength=len(folded))
+    lls = np.zeros((len(folded), len(LANGS)))
+    if len(g):
+        lls[lens > 0] = np.add.reduceat(model.logp[g], np.flatnonzero(np.diff(owner, prepend=-1)), axis=0)
+    return lls, lens
+
+
+def _documents(model: TextModel, texts: list[str], margin: float, min_words: int) -> Iterator[tuple]:
+    spans = [sentences(t) for t in texts]
+    folded = [fold(_QUOTED.sub(" ", t[a:b])) for t, sp in zip(texts, spans) for a, b in sp]
+    lls, lens = sentence_scores(model, folded)
+    words = np.array([f.count(" ") + 1 if f else 0 for f in folded], np.int64)
+    at = 0
+    for sp in spans:
+        to = at + len(sp)
+        yield _document(sp, lls[at:to], lens[at:to], words[at:to], margin, min_words)
+        at = to
+
+
+def _document(spans, lls: np.ndarray, lens: np.ndarray, words: np.ndarray, margin: float, min_words: int):
     if not spans:
         return [0.0] * len(LANGS), 0, [], [], [], [], []
-    folded = [fold(_QUOTED.sub(" ", text[a:b])) for a, b in spans]
-    gs = [grams(f) for f in folded]
-    lens = np.array([len(g) for g in gs])
-    lls = np.zeros((len(spans), len(LANGS)))
-    flat = np.concatenate(gs) if lens.sum() else np.empty(0, np.int64)
-    if len(flat):
-        has = lens > 0
-        starts = np.concatenate([[0], np.cumsum(lens)[:-1]])[has]
-        lls[has] = np.add.reduceat(model.logp[flat], starts, axis=0)
     total = lls.sum(0)
-    words = np.array([len(f.split()) for f in folded])
     whole = (words >= min_words) & (lens > 0)
     best = lls.argmax(1)
     # main language: the one with most characters in whole sentences, by each sentence's own best
