@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType()}
+
+
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """Schema of 'name type, ...'; needs no session, so workers may import this module."""
+    return T.StructType([T.StructField(n, _KINDS[k]) for n, k in (f.split() for f in spec.split(","))])
 
 
 FACTS = _struct("fact_id bigint, h string, h_label string, r string, t string, t_label string, tau_start int, tau_end int, l_h_lat double, l_h_lon double, l_t_lat double, l_t_lon double, vi_context string, source string, src_file string")
