@@ -128,7 +128,7 @@ class Checker:
                 return "refusal", end
             if question and self._copies(core, question, full):
                 return "copy", end
-            if keys and keys[0] and len(key) < len(keys[0]):
+            if keys and keys[0] and (len(key) < len(keys[0]) or stripped and len(stripped) < len(keys[0])):
                 ff = fold(full).replace(" ", "")
                 fk, fs = folded.replace(" ", ""), fold(_strip_place(core)).replace(" ", "")
                 if keys[0].startswith(key) or (stripped and keys[0].startswith(stripped)) or (fk and ff.startswith(fk) and len(fk) < len(ff)) or (fs and ff.startswith(fs) and len(fs) < len(ff)):

@@ -7,7 +7,8 @@ tokens; inverting the demand at the middle of each copy gives the copy its train
 is the training order. Tilts sum to zero over the shares, so the batch size is the same at all times.
 
 The budget is the largest at which every source that has documents can give its share without repeating any document more
-than max_repeats times; sources without documents, and those not listed, give nothing, and the shares of the rest are scaled to 1.
+than max_repeats times; sources without documents, and those not listed, give nothing, and the shares of the rest are scaled to 1. A document longer than all its source may
+give is left out. The last document of a source is used when its middle lies within the demand, so a share is off by at most half a document.
 
 Token counts come from a public tokenizer (a rank file, whose path is a parameter) over whole texts. Source names are compared in
 lower case without outer spaces, with - and spaces as _.
@@ -70,10 +71,21 @@ def plan(docs: DataFrame, targets: DataFrame, tilt: float = 0.6, ranks: str = RA
     want = {r["source"]: r for r in targets.groupBy(source_name(F.col("source")).alias("source")).agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap")).where("source is not null").collect()}
     counted = token_counts(docs, ranks).where("n_tokens > 0")
     counted = cut(counted.where(F.col("source").isin(list(want))) if want else counted.limit(0))
-    have = {r["source"]: r for r in counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).collect()}
-    usable = {s: float(want[s]["share"]) for s in want if s in have and (want[s]["share"] or 0) > 0 and (want[s]["cap"] or 0) > 0}
-    scale = sum(usable.values())
-    budget = min((have[s]["tokens"] * want[s]["cap"] * scale / usable[s] for s in usable), default=0.0)
+    # a document longer than its source's whole demand cannot be part of the mixture; leaving it out lowers what the source has, hence the loop
+    limit: dict[str, float] = {}
+    while True:
+        fits = F.lit(True)
+        for s, most in limit.items():
+            fits = fits & ((F.col("source") != s) | (F.col("n_tokens") <= most))
+        have = {r["source"]: r for r in counted.where(fits).groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"), F.max("n_tokens").alias("longest")).collect()}
+        usable = {s: float(want[s]["share"]) for s in want if s in have and (want[s]["share"] or 0) > 0 and (want[s]["cap"] or 0) > 0}
+        scale = sum(usable.values())
+        budget = min((have[s]["tokens"] * want[s]["cap"] * scale / usable[s] for s in usable), default=0.0)
+        over = {s: budget * usable[s] / scale for s in usable if have[s]["longest"] > budget * usable[s] / scale * (1 + 1e-9)}
+        if not over:
+            break
+        limit |= over
+    counted = counted.where(fits)
     slope = tilts({s: v / scale for s, v in usable.items()}, {s: want[s]["cap"] for s in usable}, tilt)
     out = []
     for s in sorted(want):
