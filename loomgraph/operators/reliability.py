@@ -41,6 +41,6 @@ def overall(scored: DataFrame) -> DataFrame:
     """Totals, distinct heads, image rows per distinct head, exact median and share of scores of 0.5 and more."""
     s = F.col("reliability_score")
     return scored.agg(
-        F.count("*").alias("n"), F.countDistinct("h").alias("n_entities"), F.round(F.sum(F.col("has_image").cast("int")) / F.countDistinct("h"), 6).alias("image_rows_per_entity"), F.round(F.min(s), 4).alias("min"), F.round(F.max(s), 4).alias("max"), F.round(F.avg(s), 4).alias("mean"),
-        F.round(F.median(s), 4).alias("median"), F.round(F.avg((s >= 0.5).cast("int")), 6).alias("share_half"), F.round(F.avg("vis_score"), 4).alias("vis"), F.round(F.avg("clip_score"), 4).alias("clip"), F.round(F.avg("spatial_score"), 4).alias("spatial"), F.round(F.avg("temporal_score"), 4).alias("temporal"),
+        F.count("*").alias("n"), F.countDistinct("h").alias("n_entities"), F.round(F.sum(F.col("has_image").cast("int")) / F.countDistinct("h"), 6).alias("image_rows_per_entity"), F.round(F.min(s), 6).alias("min"), F.round(F.max(s), 6).alias("max"), F.round(F.avg(s), 6).alias("mean"),
+        F.round(F.median(s), 6).alias("median"), F.round(F.avg((s >= 0.5).cast("int")), 6).alias("share_half"), F.round(F.avg("vis_score"), 6).alias("vis"), F.round(F.avg("clip_score"), 6).alias("clip"), F.round(F.avg("spatial_score"), 6).alias("spatial"), F.round(F.avg("temporal_score"), 6).alias("temporal"),
     )

@@ -118,7 +118,7 @@ def _(spark, d):
 
 
 @book.add("metric_bootstrap", """WITH r AS (SELECT s_suppkey - 1 AS i, 1 + s_suppkey % 7 AS ra, 1 + s_suppkey % 5 AS rb FROM supplier WHERE s_suppkey <= 100), d AS (SELECT i, 1.0::DOUBLE / ra - 1.0::DOUBLE / rb AS d FROM r), n AS (SELECT count(*) AS n, avg(d) AS obs FROM d),
-    dr AS (SELECT rep, CAST(('0x' || substring(md5('0|' || rep || '|' || pos), 1, 12))::BIGINT % n AS BIGINT) AS i FROM n, (SELECT unnest(range(200)) AS rep), (SELECT unnest(range(100)) AS pos)), m AS (SELECT rep, avg(d) AS m FROM dr JOIN d USING (i) GROUP BY rep)
+    dr AS (SELECT rep, CAST(('0x' || substring(md5('0|' || rep || '|' || pos), 1, 12))::BIGINT % n AS BIGINT) AS i FROM n, (SELECT unnest(range(200)) AS rep), (SELECT i AS pos FROM r)), m AS (SELECT rep, avg(d) AS m FROM dr JOIN d USING (i) GROUP BY rep)
     SELECT round(any_value(obs), 6) AS observed, round(avg(CASE WHEN round(abs(m), 9) >= round(abs(obs), 9) THEN 1.0 ELSE 0 END), 6) AS p FROM m, n""")
 def _(spark, d):
     r = table(spark, d, "supplier").where("s_suppkey <= 100").selectExpr("s_suppkey - 1 as i", "1 + s_suppkey % 7 as rank_a", "1 + s_suppkey % 5 as rank_b")

@@ -37,8 +37,8 @@ def _(spark, d):
     return rel.by_relation(scored(spark, d))
 
 
-@book.add("reliability_overall", f"""WITH {SCORED_SQL} SELECT count(*) AS n, count(DISTINCT h) AS n_entities, round(sum(CASE WHEN has_image THEN 1 ELSE 0 END) / count(DISTINCT h), 6) AS image_rows_per_entity, round(min(reliability_score), 4) AS min, round(max(reliability_score), 4) AS max, round(avg(reliability_score), 4) AS mean,
-    round(median(reliability_score), 4) AS median, round(avg(CASE WHEN reliability_score >= 0.5 THEN 1 ELSE 0 END), 6) AS share_half, round(avg(vis_score), 4) AS vis, round(avg(clip_score), 4) AS clip, round(avg(spatial_score), 4) AS spatial, round(avg(temporal_score), 4) AS temporal FROM scored""")
+@book.add("reliability_overall", f"""WITH {SCORED_SQL} SELECT count(*) AS n, count(DISTINCT h) AS n_entities, round(sum(CASE WHEN has_image THEN 1 ELSE 0 END) / count(DISTINCT h), 6) AS image_rows_per_entity, round(min(reliability_score), 6) AS min, round(max(reliability_score), 6) AS max, round(avg(reliability_score), 6) AS mean,
+    round(median(reliability_score), 6) AS median, round(avg(CASE WHEN reliability_score >= 0.5 THEN 1 ELSE 0 END), 6) AS share_half, round(avg(vis_score), 6) AS vis, round(avg(clip_score), 6) AS clip, round(avg(spatial_score), 6) AS spatial, round(avg(temporal_score), 6) AS temporal FROM scored""")
 def _(spark, d):
     return rel.overall(scored(spark, d))
 
