@@ -27,12 +27,12 @@ def _(spark, d):
     return mg.keep_first(events(spark, d), ["h_label", "r", "t_label", "tau_start"], ["fact_id"]).select("fact_id", "h_label", "r", "t_label", "tau_start")
 
 
-@book.add("merge_three_sources", f"""WITH {FACTS_SQL}, {EVENTS_SQL}, u AS (SELECT 0 AS source_rank, fact_id, h, r, t, tau_start FROM facts UNION ALL SELECT 1, fact_id, h, r, t, tau_start FROM ev UNION ALL SELECT 2, fact_id, h, r, t, NULL FROM ev WHERE fact_id % 5 = 0)
+@book.add("merge_three_sources", f"""WITH {FACTS_SQL}, {EVENTS_SQL}, u AS (SELECT 0 AS source_rank, fact_id, h, r, t, tau_start FROM facts UNION ALL SELECT 1, fact_id, h, r, t, tau_start FROM ev UNION ALL SELECT 2, fact_id, h, r, t, NULL FROM ev)
     SELECT source_rank, fact_id, h, r, t, tau_start FROM (SELECT *, row_number() OVER (PARTITION BY {_K} ORDER BY source_rank, fact_id) AS rn FROM u) WHERE rn = 1""")
 def _(spark, d):
     c = ["fact_id", "h", "r", "t", "tau_start"]
     e = events(spark, d)
-    third = e.where("fact_id % 5 = 0").select("fact_id", "h", "r", "t")
+    third = e.select("fact_id", "h", "r", "t")
     return mg.merge_sources(facts(spark, d).select(c), e.select(c), third).select("source_rank", *c)
 
 
@@ -142,12 +142,12 @@ def _(spark, d):
 
 
 # entity JSON made of events
-JSON_SQL = """ent AS (SELECT row_id, h AS qid, '{"labels":{' || CASE WHEN row_id % 3 = 0 THEN '' ELSE '"vi":{"value":"L' || CAST(row_id AS VARCHAR) || '"}' || CASE WHEN row_id % 2 = 0 THEN ',' ELSE '' END END || CASE WHEN row_id % 2 = 0 THEN '"en":{"value":"E' || CAST(row_id AS VARCHAR) || '"}' ELSE '' END || '},"claims":{"P276":[{"mainsnak":{"datavalue":{"value":{"id":"' || t || '"}}},"qualifiers":{"P580":[{"datavalue":{"value":{"time":"+' || lpad(CAST(1000 + row_id % 900 AS VARCHAR), 4, '0') || '-01-01T00:00:00Z"}}}]}}]}}' AS json FROM historical_events WHERE row_id % 7 <> 0)"""
+JSON_SQL = """ent AS (SELECT row_id, h AS qid, '{"labels":{' || CASE WHEN row_id % 3 = 0 THEN '' ELSE '"vi":{"value":"L' || CAST(row_id AS VARCHAR) || '"}' || CASE WHEN row_id % 2 = 0 THEN ',' ELSE '' END END || CASE WHEN row_id % 2 = 0 THEN '"en":{"value":"E' || CAST(row_id AS VARCHAR) || '"}' ELSE '' END || '},"claims":{"P276":[{"mainsnak":{"datavalue":{"value":{"id":"' || t || '"}}},"qualifiers":{"P580":[{"datavalue":{"value":{"time":"+' || lpad(CAST(1000 + row_id % 900 AS VARCHAR), 4, '0') || '-01-01T00:00:00Z"}}}]}}]}}' AS json FROM historical_events)"""
 
 
 @book.add("entity_json_claims", f"""WITH {JSON_SQL} SELECT row_id, qid AS h, CASE WHEN row_id % 3 <> 0 THEN 'L' || row_id WHEN row_id % 2 = 0 THEN 'E' || row_id ELSE '' END AS h_label, 'occurredAt' AS r, json_extract_string(json, '$.claims.P276[0].mainsnak.datavalue.value.id') AS t, CAST(substring(json_extract_string(json, '$.claims.P276[0].qualifiers.P580[0].datavalue.value.time'), 2, 4) AS INTEGER) AS tau_start FROM ent""")
 def _(spark, d):
-    e = table(spark, d, "historical_events").where("row_id % 7 <> 0").selectExpr("row_id", "h as qid", """concat('{"labels":{', case when row_id % 3 = 0 then '' else concat('"vi":{"value":"L', row_id, '"}', case when row_id % 2 = 0 then ',' else '' end) end, case when row_id % 2 = 0 then concat('"en":{"value":"E', row_id, '"}') else '' end,
+    e = table(spark, d, "historical_events").selectExpr("row_id", "h as qid", """concat('{"labels":{', case when row_id % 3 = 0 then '' else concat('"vi":{"value":"L', row_id, '"}', case when row_id % 2 = 0 then ',' else '' end) end, case when row_id % 2 = 0 then concat('"en":{"value":"E', row_id, '"}') else '' end,
         '},"claims":{"P276":[{"mainsnak":{"datavalue":{"value":{"id":"', t, '"}}},"qualifiers":{"P580":[{"datavalue":{"value":{"time":"+', lpad(cast(1000 + row_id % 900 as string), 4, '0'), '-01-01T00:00:00Z"}}}]}}]}}') as json""")
     claims = mg.entity_claims(e.select(F.col("row_id").cast("string").alias("qid"), "json")).withColumnRenamed("h", "row_id")
     return claims.select(F.col("row_id").cast("long").alias("row_id"), "h_label", "r", "t", "tau_start").join(e.select("row_id", F.col("qid").alias("h")), "row_id")

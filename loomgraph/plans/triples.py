@@ -11,25 +11,25 @@ from loomgraph.session import table
 book = Book()
 #: The same text runs in both engines over historical_events.
 TRIPLES = """SELECT DISTINCT s, p, o FROM (
-    SELECT h AS s, 'P31' AS p, 'T' || CAST(CAST(substring(h, 2) AS BIGINT) % 6 AS {s}) AS o FROM {e} WHERE h LIKE 'Q1%'
-    UNION ALL SELECT h, 'label_vi', h_label FROM {e} WHERE h LIKE 'Q1%' AND CAST(substring(h, 2) AS BIGINT) % 3 <> 0
-    UNION ALL SELECT h, 'label_en', 'E' || h FROM {e} WHERE h LIKE 'Q1%' AND CAST(substring(h, 2) AS BIGINT) % 2 = 0
-    UNION ALL SELECT h, 'P585', CAST(tau_start AS {s}) || '-01-01T00:00:00Z' FROM {e} WHERE h LIKE 'Q1%' AND tau_start IS NOT NULL AND CAST(substring(h, 2) AS BIGINT) % 4 <> 0
-    UNION ALL SELECT h, 'P580', CAST(tau_start + 1 AS {s}) || '-01-01T00:00:00Z' FROM {e} WHERE h LIKE 'Q1%' AND tau_start IS NOT NULL
-    UNION ALL SELECT h, 'P276', t FROM {e} WHERE h LIKE 'Q1%'
+    SELECT h AS s, 'P31' AS p, 'T' || CAST(CAST(substring(h, 2) AS BIGINT) % 6 AS {s}) AS o FROM {e} WHERE {m}(h, '^Q[0-9]+$')
+    UNION ALL SELECT h, 'label_vi', h_label FROM {e} WHERE {m}(h, '^Q[0-9]+$') AND CAST(substring(h, 2) AS BIGINT) % 3 <> 0
+    UNION ALL SELECT h, 'label_en', 'E' || h FROM {e} WHERE {m}(h, '^Q[0-9]+$') AND CAST(substring(h, 2) AS BIGINT) % 2 = 0
+    UNION ALL SELECT h, 'P585', CAST(tau_start AS {s}) || '-01-01T00:00:00Z' FROM {e} WHERE {m}(h, '^Q[0-9]+$') AND tau_start IS NOT NULL AND CAST(substring(h, 2) AS BIGINT) % 4 <> 0
+    UNION ALL SELECT h, 'P580', CAST(tau_start + 1 AS {s}) || '-01-01T00:00:00Z' FROM {e} WHERE {m}(h, '^Q[0-9]+$') AND tau_start IS NOT NULL
+    UNION ALL SELECT h, 'P276', t FROM {e} WHERE {m}(h, '^Q[0-9]+$')
     UNION ALL SELECT t, 'label_vi', t_label FROM {e} WHERE t_label IS NOT NULL
     UNION ALL SELECT t, 'P625', 'st_' || t FROM {e} WHERE l_t_lat IS NOT NULL AND l_t_lon IS NOT NULL
     UNION ALL SELECT 'st_' || t, 'lat', CAST(floor(l_t_lat) AS {s}) FROM {e} WHERE l_t_lat IS NOT NULL AND l_t_lon IS NOT NULL
     UNION ALL SELECT 'st_' || t, 'lon', CAST(floor(l_t_lon) AS {s}) FROM {e} WHERE l_t_lat IS NOT NULL AND l_t_lon IS NOT NULL
     UNION ALL SELECT 'T1', 'P279', 'T0' FROM {e} UNION ALL SELECT 'T2', 'P279', 'T1' FROM {e} UNION ALL SELECT 'T0', 'P279', 'T2' FROM {e} UNION ALL SELECT 'T4', 'P279', 'T3' FROM {e} UNION ALL SELECT 'T5', 'P279', 'T1' FROM {e})"""
-T_SQL = "tri AS (" + TRIPLES.replace("{e}", "historical_events").replace("{s}", "VARCHAR") + ")"
+T_SQL = "tri AS (" + TRIPLES.replace("{e}", "historical_events").replace("{s}", "VARCHAR").replace("{m}", "regexp_matches") + ")"
 LAB_SQL = "vi AS (SELECT s, min(o) AS vi FROM tri WHERE p = 'label_vi' GROUP BY s), en AS (SELECT s, min(o) AS en FROM tri WHERE p = 'label_en' GROUP BY s), lab AS (SELECT coalesce(vi.s, en.s) AS s, coalesce(vi, en) AS label FROM vi FULL JOIN en ON vi.s = en.s)"
 XY_SQL = "xy AS (SELECT a.s, CAST(b.o AS DOUBLE) AS lat, CAST(c.o AS DOUBLE) AS lon FROM tri a JOIN tri b ON a.o = b.s AND b.p = 'lat' JOIN tri c ON a.o = c.s AND c.p = 'lon' WHERE a.p = 'P625')"
 
 
 def triples(spark, d):
     e = table(spark, d, "historical_events")
-    return spark.sql(TRIPLES.replace("{s}", "STRING"), e=e)
+    return spark.sql(TRIPLES.replace("{s}", "STRING").replace("{m}", "regexp_like"), e=e)
 
 
 @book.add("triples_labels", f"WITH {T_SQL}, {LAB_SQL} SELECT s, label FROM lab WHERE label IS NOT NULL")

@@ -65,7 +65,7 @@ def _(spark, d):
 _ENT = "CASE length(h_label) % 4 WHEN 0 THEN h_label WHEN 1 THEN substring(h_label, 5, 9) WHEN 2 THEN h_label || ' xyz' ELSE 'zz' || substring(h_label, 1, 3) END"
 
 
-@book.add("visual_resolve_place", f"""WITH {INDEX_SQL}, en AS (SELECT DISTINCT {_ENT} AS entity FROM ev WHERE h_label IS NOT NULL AND fact_id < 1000000), x AS (SELECT entity, lower(trim(entity)) AS key FROM en), ex AS (SELECT x.*, i.lat, i.lon, i.key IS NOT NULL AS hit FROM x LEFT JOIN idx i ON x.key = i.key),
+@book.add("visual_resolve_place", f"""WITH {INDEX_SQL}, en AS (SELECT DISTINCT {_ENT} AS entity FROM ev WHERE h_label IS NOT NULL), x AS (SELECT entity, lower(trim(entity)) AS key FROM en), ex AS (SELECT x.*, i.lat, i.lon, i.key IS NOT NULL AS hit FROM x LEFT JOIN idx i ON x.key = i.key),
     nr AS (SELECT entity, lat, lon FROM (SELECT ex.entity, i.lat, i.lon, row_number() OVER (PARTITION BY ex.entity ORDER BY i.pf, i.ps) AS rn FROM ex JOIN idx i ON NOT hit AND (contains(i.key, ex.key) OR contains(ex.key, i.key))) WHERE rn = 1)
     SELECT ex.entity, coalesce(ex.lat, nr.lat, 14.0583) AS lat, coalesce(ex.lon, nr.lon, 108.2772) AS lon, CASE WHEN hit THEN 'exact' WHEN nr.entity IS NOT NULL THEN 'contains' ELSE 'default' END AS how FROM ex LEFT JOIN nr ON ex.entity = nr.entity""")
 def _(spark, d):
