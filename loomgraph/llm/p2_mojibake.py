@@ -255,7 +255,10 @@ class Model:
         for a, b, s in spans:
             out.append(text[at:a])
             exact = self.restore_bytes(text[a:b], s)
-            out.append(self.restore(text[a:b], s, text[a - 1] if a else " ") if exact is None else exact)
+            fixed = self.restore(text[a:b], s, text[a - 1] if a else " ") if exact is None else exact
+            if fixed == text[a:b] and s != "lost":  # short spans fit several pairs: take one whose bytes are whole
+                fixed = next((x for c in CODECS if (x := self.restore_bytes(fixed, c)) and x != fixed), fixed)
+            out.append(fixed)
             at = b
         out.append(text[at:])
         return "".join(out), [s for _, _, s in spans]

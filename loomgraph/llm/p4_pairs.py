@@ -103,11 +103,12 @@ class Checker:
     def __init__(self, counts: np.ndarray, ends: dict):
         self.nb, self.end = TextModel(counts), EndModel(ends)
 
-    def language_lead(self, text: str) -> tuple[str, float]:
-        """Best language of a text and its lead over Vietnamese in log-likelihood."""
+    def language_lead(self, text: str) -> tuple[str, float, float]:
+        """Best language of a text and its lead over Vietnamese in log-likelihood, in all and per 4-gram."""
         ll, n = self.nb.loglik(text)
         best = int(ll.argmax())
-        return LANGS[best], float(ll[best] - ll[0]) if n else 0.0
+        lead = float(ll[best] - ll[0]) if n else 0.0
+        return LANGS[best], lead, lead / max(n, 1)
 
     def defect(self, question, answer, full, own, tau) -> tuple[str | None, float]:
         """Kind of defect and the end-of-text score of the answer."""
@@ -178,13 +179,11 @@ class Checker:
         words = core.split()
         named = {fold(w) for i, w in enumerate(words) if w[:1].isupper() and (i or len(words) > 1) and any(not c.isascii() for c in w)}
         rest = " ".join(w for w in rest.split() if w not in named)
-        lang, lead = self.language_lead(rest)
+        lang, lead, rate = self.language_lead(rest)
         if lang == "vi" or lead < 6.0:
             return None
-        if question is None:
-            return lang
-        _, asked = self.language_lead(question)
-        return lang if asked < lead else None
+        # a prompt that names a foreign event leans to that language a little, a response worded in it throughout
+        return lang if question is None or self.language_lead(question)[2] < rate else None
 
 
 def defects(questions: DataFrame, documents: DataFrame) -> DataFrame:
