@@ -75,15 +75,18 @@ def fact_vector(h: Column, r: Column, t: Column) -> Column:
     return V.scale(V.add(h, r, t), 1.0 / 3.0)
 
 
-def min_max(s: Column, by: list[str]) -> Column:
-    """(s - min) / max(max - min, 1e-12) within the candidate set."""
-    w = W.partitionBy(*by)
-    return (s - F.min(s).over(w)) / F.greatest(F.max(s).over(w) - F.min(s).over(w), F.lit(1e-12))
+def with_stats(df: DataFrame, by: list[str], **aggs: Column) -> DataFrame:
+    """Adds per-group aggregates by a two-phase aggregation and a join, so that a candidate set of any size is no single task."""
+    g = df.groupBy(*[F.col(c).alias(f"__k_{c}") for c in by]).agg(*[v.alias(k) for k, v in aggs.items()])
+    on = [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in by]
+    return df.join(g, on).drop(*[f"__k_{c}" for c in by])
 
 
 def relevance(scored: DataFrame, alpha: float, by: list[str], cos: str = "cos", s: str = "s") -> DataFrame:
-    """rel = alpha cos - (1 - alpha) min-max(s), per candidate set."""
-    return scored.withColumn("rel", alpha * F.col(cos) - (1 - alpha) * min_max(F.col(s), by))
+    """rel = alpha cos - (1 - alpha) (s - min) / max(max - min, 1e-12), per candidate set."""
+    j = with_stats(scored, by, __lo=F.min(s), __hi=F.max(s))
+    scaled = (F.col(s) - F.col("__lo")) / F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1e-12))
+    return j.withColumn("rel", alpha * F.col(cos) - (1 - alpha) * scaled).drop("__lo", "__hi")
 
 
 def top_k(df: DataFrame, by: list[str], score: str, tie: str, k: int) -> DataFrame:
@@ -92,10 +95,11 @@ def top_k(df: DataFrame, by: list[str], score: str, tie: str, k: int) -> DataFra
     return df.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
 
 
-def softmax(x: Column, by: list[str]) -> Column:
-    w = W.partitionBy(*by)
-    e = F.exp(x - F.max(x).over(w))
-    return e / F.sum(e).over(w)
+def softmax(df: DataFrame, x: str, by: list[str], out: str) -> DataFrame:
+    """Adds the softmax of x within each group."""
+    j = with_stats(df, by, __m=F.max(x)).withColumn("__e", F.exp(F.col(x) - F.col("__m")))
+    j = with_stats(j, by, __z=F.sum("__e"))
+    return j.withColumn(out, F.col("__e") / F.col("__z")).drop("__m", "__e", "__z")
 
 
 def target_rank(scores: DataFrame, by: list[str], score: str, entity: str, target: str) -> DataFrame:
@@ -118,11 +122,14 @@ def entity_universe(df: DataFrame, last: bool = False) -> DataFrame:
     return m.select("entity", F.coalesce("m.lat", F.lit(DEFAULT_LAT)).alias("lat"), F.coalesce("m.lon", F.lit(DEFAULT_LON)).alias("lon"), F.coalesce("m.tau", F.lit(DEFAULT_TAU)).alias("tau"))
 
 
-def against_all(rows: DataFrame, queries: DataFrame, block: int = 512) -> DataFrame:
-    """A stated query set against all rows, in blocks: rows go to every block of queries, each block is joined by its number."""
+def against_all(rows: DataFrame, queries: DataFrame, key: str, block: int = 512) -> DataFrame:
+    """A stated query set (column qid) against all rows, in blocks: every row meets each block of queries in the salt bucket of its key, so the work is spread over all tasks."""
     blocks = max(1, -(-queries.count() // block))
-    q = queries.withColumn("__b", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
-    return rows.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(q, "__b").drop("__b")
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.withColumn("__b", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).withColumn("__s", number(salts))
+    r = rows.withColumn("__s", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")).withColumn("__b", number(blocks))
+    return r.join(q, ["__b", "__s"]).drop("__b", "__s")
 
 
 def score_all(queries: DataFrame, entities: DataFrame, k: int, block: int = 4096):

@@ -22,7 +22,7 @@ def split_by_fact(questions: DataFrame, train: float = 0.8, val: float = 0.1, se
     f = questions.where("fact_id is not null").groupBy("fact_id").agg(F.min(F.struct("qid", "relation"))["relation"].alias("relation"))
     ranked = running_position(f.withColumn("draw", draw(seed, "fact_id")), ["relation"], ["draw", "fact_id"])
     n = f.groupBy("relation").agg(F.count("*").alias("n"))
-    sized = ranked.join(F.broadcast(n.withColumnRenamed("relation", "__r")), F.col("relation").eqNullSafe(F.col("__r")))  # one row per relation
+    sized = ranked.join(n.withColumnRenamed("relation", "__r"), F.col("relation").eqNullSafe(F.col("__r")))
     a, b = F.bround(F.lit(train) * F.col("n")), F.bround(F.lit(val) * F.col("n"))
     return sized.select("fact_id", "relation", F.when(F.col("rn") <= a, "train").when(F.col("rn") <= a + b, "val").otherwise("test").alias("split"))
 
@@ -40,7 +40,7 @@ def quotas(df: DataFrame, key: str, n: int) -> DataFrame:
 def quota_sample(df: DataFrame, key: str, n: int, seed: int, ids: str = "qid") -> DataFrame:
     """Exactly quota rows of each group, the first in hash order (no replacement)."""
     ranked = running_position(df.withColumn("draw", draw(seed, ids)), [key], ["draw", ids])
-    return ranked.join(F.broadcast(quotas(df, key, n).select(F.col(key).alias("__k"), "quota")), F.col(key).eqNullSafe(F.col("__k"))).where("rn <= quota").drop("rn", "quota", "draw", "__k")
+    return ranked.join(quotas(df, key, n).select(F.col(key).alias("__k"), "quota"), F.col(key).eqNullSafe(F.col("__k"))).where("rn <= quota").drop("rn", "quota", "draw", "__k")
 
 
 def uniform_sample(df: DataFrame, n: int, seed: int, ids: str = "qid") -> DataFrame:

@@ -94,7 +94,7 @@ def pairs(spark, d):
     """The stated query set (every fiftieth vector) against all vectors."""
     v = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vec")).withColumn("vv", V.dot(F.col("vec"), F.col("vec")))
     q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("ql"), F.col("vec").alias("qv"), F.col("vv").alias("qq"))
-    j = rt.against_all(v, q).where("qid <> vec_id").withColumn("dp", V.dot(F.col("qv"), F.col("vec")))
+    j = rt.against_all(v, q, "vec_id").where("qid <> vec_id").withColumn("dp", V.dot(F.col("qv"), F.col("vec")))
     return j.select("qid", "ql", "vec_id", "label", "dp", (F.col("dp") / (F.sqrt("qq") * F.sqrt("vv"))).alias("cos"), F.sqrt(F.greatest(F.col("qq") + F.col("vv") - 2 * F.col("dp"), F.lit(0.0))).alias("s"))
 
 
@@ -123,21 +123,21 @@ def _(spark, d):
 
 @book.add("retrieve_weights", f"WITH {REL_SQL}, t AS (SELECT * FROM tk WHERE rk <= 32) SELECT qid, vec_id, round(exp(rel - max(rel) OVER (PARTITION BY qid)) / sum(exp(rel)) OVER (PARTITION BY qid) * exp(max(rel) OVER (PARTITION BY qid)), 6) AS w FROM t")
 def _(spark, d):
-    return top(spark, d).select("qid", "vec_id", F.round(rt.softmax(F.col("rel"), ["qid"]), 6).alias("w"))
+    return rt.softmax(top(spark, d), "rel", ["qid"], "w").select("qid", "vec_id", F.round("w", 6).alias("w"))
 
 
 @book.add("retrieve_weighted_sum", f"""WITH {REL_SQL}, t AS (SELECT * FROM tk WHERE rk <= 32), w AS (SELECT qid, vec_id, exp(rel) / sum(exp(rel)) OVER (PARTITION BY qid) AS w FROM t), x AS (SELECT qid, unnest(range(1, 65)) AS k, w, vec FROM w JOIN v USING (vec_id))
     SELECT qid, CAST(k - 1 AS INTEGER) AS pos, round(sum(w * vec[k]), 6) AS x FROM x GROUP BY qid, k""")
 def _(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
-    w = top(spark, d).select("qid", "vec_id", rt.softmax(F.col("rel"), ["qid"]).alias("w"))
+    w = rt.softmax(top(spark, d), "rel", ["qid"], "w").select("qid", "vec_id", "w")
     x = w.join(v, "vec_id").select("qid", "w", F.posexplode("vec").alias("pos", "e"))
     return x.groupBy("qid", "pos").agg(F.round(F.sum(F.col("w") * F.col("e")), 6).alias("x"))
 
 
 @book.add("rank_softmax", f"WITH {PAIR_SQL} SELECT qid, vec_id, round(exp(dp - max(dp) OVER (PARTITION BY qid)) / sum(exp(dp)) OVER (PARTITION BY qid) * exp(max(dp) OVER (PARTITION BY qid)), 6) AS p FROM pr")
 def _(spark, d):
-    return pairs(spark, d).select("qid", "vec_id", F.round(rt.softmax(F.col("dp"), ["qid"]), 6).alias("p"))
+    return rt.softmax(pairs(spark, d), "dp", ["qid"], "p").select("qid", "vec_id", F.round("p", 6).alias("p"))
 
 
 #: The target of a query is the smallest other vector of its label.
@@ -147,7 +147,7 @@ RANK_SQL = f"""{PAIR_SQL}, tg AS (SELECT qid, min(vec_id) AS target FROM pr WHER
 def ranks(spark, d):
     p = pairs(spark, d).withColumn("c", F.round("cos", 9))
     target = p.where("label = ql").groupBy("qid").agg(F.min("vec_id").alias("target"))
-    return rt.target_rank(p.join(F.broadcast(target), "qid"), ["qid", "target"], "c", "vec_id", "target")  # one row per query
+    return rt.target_rank(p.join(target, "qid"), ["qid", "target"], "c", "vec_id", "target")
 
 
 @book.add("rank_targets", f"WITH {RANK_SQL} SELECT qid, target, rank FROM rk")
