@@ -266,7 +266,22 @@ class Model:
 
 _CLEAN_SET = frozenset(CLEAN)
 _LOST_SIGN = re.compile(r"�|\?.*\w", re.S)
-_SUSPECT = "[^" + "".join(f"\\x{{{ord(c):x}}}" for c in CLEAN + "\r") + "]"
+
+
+def _ranges(chars: str) -> str:
+    """Regular-expression class of some characters as merged ranges (a class of single characters is tested one by one)."""
+    out, at = "", sorted({ord(c) for c in chars})
+    first = last = at[0]
+    for cp in [*at[1:], -1]:
+        if cp == last + 1:
+            last = cp
+            continue
+        out += f"\\x{{{first:x}}}-\\x{{{last:x}}}"
+        first = last = cp
+    return out
+
+
+_SUSPECT = f"[^{_ranges(CLEAN + chr(13))}]"
 
 
 def suspect(col):
