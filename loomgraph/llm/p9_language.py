@@ -111,30 +111,31 @@ def train(docs: DataFrame) -> np.ndarray:
     return counts.reshape(len(LANGS), BUCKETS)
 
 
-_EVIDENCE = "doc_id long, ll array<double>, n_grams long, seg_start array<int>, seg_end array<int>, seg_lang array<string>, seg_conf array<double>, langs array<string>"
+_EVIDENCE = "ll array<double>, n_grams long, seg_start array<int>, seg_end array<int>, seg_lang array<string>, seg_conf array<double>, langs array<string>"
 
 
 def text_evidence(docs: DataFrame, counts: np.ndarray, margin: float = 12.0, min_words: int = 6) -> DataFrame:
-    """Log-likelihoods and segments of each document.
+    """Log-likelihoods and segments of each document, beside all its columns but the text (the last one), so that no join brings them together.
 
     margin: log-likelihood lead over the document's main language that makes a sentence one of another language;
     min_words: words a sentence needs to count as a whole one.
     """
 
+    kept = [c for c in docs.columns if c != "text"]
+    types = [pa.list_(pa.float64()), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.float64()), pa.list_(pa.string())]
+    names = ["ll", "n_grams", "seg_start", "seg_end", "seg_lang", "seg_conf", "langs"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = TextModel(counts)
         for b in batches:
-            out: list[list] = [[] for _ in range(8)]
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc_id, row in zip(part.column(0).to_pylist(), _documents(model, texts, margin, min_words)):
-                    for col, v in zip(out, (doc_id, *row)):
-                        col.append(v)
-            types = [pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.float64()), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["doc_id", "ll", "n_grams", "seg_start", "seg_end", "seg_lang", "seg_conf", "langs"])
+                texts = [t or "" for t in part.column(len(kept)).to_pylist()]
+                cols = list(zip(*_documents(model, texts, margin, min_words)))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *[pa.array(c, t) for c, t in zip(cols, types)]], names=[*kept, *names])
 
-    return docs.select("doc_id", "text").mapInArrow(run, _EVIDENCE)
+    schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*kept).dtypes)
+    return docs.select(*kept, "text").mapInArrow(run, f"{schema}, {_EVIDENCE}")
 
 
 def sentence_scores(model: TextModel, folded: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +207,7 @@ def fused(docs: DataFrame, temper: float = 0.2, strength: float = 20.0, suffix_c
     counts = train(docs)
     host = F.coalesce(F.regexp_replace(F.lower(F.trim("source")), r"[\s_-]+", "_"), F.lit("(none)"))
     suffix = F.create_map(*[F.lit(x) for kv in SUFFIX_LANG.items() for x in kv])[F.regexp_extract(F.lower(F.col(suffix_col)), r"^[a-z+]*:?/*[^/:]*\.([a-z]+)(?:[:/]|$)", 1)] if suffix_col else F.lit(None).cast("string")
-    meta = docs.select("doc_id", F.col("lang").alias("label"), declared(F.col("lang")).alias("declared"), host.alias("host"), F.coalesce("origin_format", F.lit("(none)")).alias("fmt"), suffix.alias("suffix"))
+    meta = docs.select("doc_id", F.col("lang").alias("label"), declared(F.col("lang")).alias("declared"), host.alias("host"), F.coalesce("origin_format", F.lit("(none)")).alias("fmt"), suffix.alias("suffix"), "text")
     seen = docs.select(declared(F.col("lang")).alias("declared"), host.alias("host"), F.coalesce("origin_format", F.lit("(none)")).alias("fmt"))
     cube = cut(seen.groupBy("host", "fmt", "declared").agg(F.count("*").alias("n")))
     known = cube.where("declared is not null")
@@ -218,7 +219,7 @@ def fused(docs: DataFrame, temper: float = 0.2, strength: float = 20.0, suffix_c
     per_host = known.groupBy("host", "fmt").agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("declared") == x, F.col("n")).otherwise(0)).alias(f"n_{x}") for x in LANGS])
     prior = per_host.join(per_fmt, "fmt").select("host", "fmt", F.array(*[F.log((F.col(f"n_{x}") + strength * F.col(f"f_{x}")) / (F.col("n") + strength)) for x in LANGS]).alias("host_prior"))
 
-    base = meta.join(text_evidence(docs, counts), "doc_id")
+    base = text_evidence(meta, counts)
     # P(label | language): the label agrees with probability 0.9, else one of the other five
     label = F.array(*[F.when(F.col("declared").isNull(), 0.0).when(F.col("declared") == x, float(np.log(0.9))).otherwise(float(np.log(0.02))) for x in LANGS])
     tld = F.array(*[F.when(F.col("suffix").isNull(), 0.0).when(F.col("suffix") == x, float(np.log(0.7))).otherwise(float(np.log(0.06))) for x in LANGS])

@@ -422,6 +422,7 @@ def test_p9_languages(spark, docs):
     assert seg == [("vi", 0), ("en", 1)]
     d = {r["doc_id"]: r for r in p9.documents(docs).collect()}
     assert d[901]["lang"] is None and d[901]["confidence"] == 0 and d[904]["lang"] == "vi" and d[0]["confidence"] > 0.9
+    assert p9.documents(docs).count() == docs.count()  # repeated doc_ids stay as they are
     assert p9.found(empty(docs)).count() == 0
 
 
