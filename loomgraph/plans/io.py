@@ -72,7 +72,11 @@ def _(spark, d):
     return se.run_once(se.sessions(se.read(spark, d))).select("user_id", F.col("w.start").alias("start"), "n")
 
 
-@book.add("model_mlp")
+_W = lambda i, j, salt: f"(((({i}) + 1) * (({j}) + 3) * 7919 + {salt} * 31) % 2001 - 1000) / 1000.0::DOUBLE"
+
+
+@book.add("model_mlp", f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), h AS (SELECT vec_id, list_transform(range(16), lambda j: greatest(list_sum(list_transform(range(64), lambda i: v[i + 1] * {_W('i', 'j', 3)})), 0)) AS h FROM e)
+    SELECT vec_id, round(1 / (1 + exp(-list_sum(list_transform(range(16), lambda j: h[j + 1] * {_W('j', '0', 5)})))), 6) AS score FROM h""")
 def _(spark, d):
     w1, w2 = md.start_matrix(64, 16, 3), md.start_matrix(16, 1, 5)[:, 0]
     v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
