@@ -10,8 +10,8 @@ state; where the damage lost bytes (dropped control characters) the bigram count
 Shortcut without loss: a text without any character from outside the clean alphabet, or question mark before further words, has the all-clean path, since every
 damaged span that can be told from clean text holds such a character; only other texts reach the Viterbi step.
 
-Defined results: null and empty texts are clean; replacement signs (U+FFFD, or a question mark inside a word or before further words where a letter was) are damage that
-cannot be undone and stay as they are; texts of any length are labelled whole; repeated rows give repeated cases; an empty table gives an empty
+Defined results: null and empty texts are clean; replacement signs (U+FFFD, or a question mark inside a word or before further words where a letter was) are damage; `restored` puts letters back where
+one clean word of the corpus explains them, else the signs stay and the value is marked lossy; texts of any length are labelled whole; repeated rows give repeated cases; an empty table gives an empty
 result; extra columns are ignored.
 """
 
@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.session import cut
+
 _VOWELS = "aăâeêioôơuưy"
 _TONES = "̣̀́̃̉"
 _VIET = "".join(unicodedata.normalize("NFC", v + t) for v in _VOWELS for t in ("", *_TONES)) + "đ"
@@ -353,5 +355,62 @@ def damaged(questions: DataFrame, events: DataFrame) -> DataFrame:
     return repairs(long, bigram_counts(long))
 
 
+def loss_forms(word: str) -> list[str]:
+    """How a word looks after its letters were lost: a question mark per letter outside Latin-1, or a replacement sign per byte outside ASCII."""
+    asked = "".join("?" if ord(c) > 255 else c for c in word)
+    signs = "".join(LOST * len(c.encode()) if ord(c) > 127 else c for c in word)
+    return [f for f in (asked, signs) if f != word]
+
+
+_TOKEN = re.compile(r"^([\"'(“«]*)(.*?)([\"'),.!”»:;]*)$", re.S)
+
+
+def lost_tokens(text: str) -> list[tuple[str, str, str]]:
+    """(before, word, after) of each space-separated token; a final question mark behind another sign belongs to the sentence."""
+    parts = [_TOKEN.match(t).groups() for t in text.split(" ")]
+    a, w, b = parts[-1]
+    if w.endswith("?") and ("?" in w[:-1] or LOST in w):
+        parts[-1] = (a, w[:-1], "?" + b)
+    for i in range(1, len(parts) - 1):  # a lone sign between two names was the dash
+        if parts[i][1] in ("?", LOST * 3) and parts[i - 1][1][:1].isupper() and parts[i + 1][1][:1].isupper():
+            parts[i] = ("–", "", "")
+    return parts
+
+
+def restore_lost(damaged_rows: DataFrame, long: DataFrame, sure: float = 0.8) -> DataFrame:
+    """Puts back lost letters where a clean word of the corpus explains them: among all words with the same loss form one must have at least `sure` of the uses.
+
+    Words of all clean texts are counted, turned into their loss forms and joined with the lost words; `lossy` stays true where a sign remains.
+    """
+    clean = long.where(~suspect("text")).select(F.explode(F.split("text", r"[ \t\n\"'(),.!?“”«»:;–—]+")).alias("word")).where(F.col("word").rlike(r"[^\x00-\x7f]")).groupBy("word").agg(F.count("*").alias("n"))
+
+    def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(f, w, n) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for f in loss_forms(w)]
+            cols = list(zip(*rows)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["form", "word", "n"])
+
+    by_form = clean.mapInArrow(forms, "form string, word string, n long").groupBy("form").agg(F.sum("n").alias("all"), F.max(F.struct("n", "word")).alias("m")).where(F.col("m.n") >= sure * F.col("all")).select("form", F.col("m.word").alias("word"))
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(t, i, *p) for t in b.column(0).to_pylist() for i, p in enumerate(lost_tokens(t))]
+            cols = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.string()) for c in cols[2:]]], names=["restored", "pos", "a", "form", "b"])
+
+    texts = damaged_rows.where("lossy").select("restored").distinct()
+    tokens = texts.mapInArrow(cut_up, "restored string, pos int, a string, form string, b string").join(by_form, "form", "left")
+    piece = F.struct("pos", F.concat("a", F.coalesce("word", "form"), "b").alias("x"), (F.col("word").isNull() & F.col("form").rlike(f"[?{LOST}]")).alias("left"))
+    whole = tokens.groupBy("restored").agg(F.array_sort(F.collect_list(piece)).alias("p")).select("restored", F.array_join(F.transform("p", lambda q: q["x"]), " ").alias("again"), F.exists("p", lambda q: q["left"]).alias("left"))
+    out = damaged_rows.join(whole, "restored", "left")
+    return out.select("tbl", "rec_key", "field", "text", F.coalesce("again", "restored").alias("restored"), "encoding", F.when(F.col("lossy"), F.coalesce("left", F.lit(True))).otherwise(F.lit(False)).alias("lossy"))
+
+
+def restored(questions: DataFrame, events: DataFrame) -> DataFrame:
+    """Damaged values with their text restored as far as possible, lost letters included."""
+    long = fields_long(questions, events)
+    return restore_lost(cut(repairs(long, bigram_counts(long))), long)
+
+
 def found(questions: DataFrame, events: DataFrame) -> DataFrame:
     return damaged(questions, events).select("tbl", "rec_key", "field")

@@ -29,7 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_values": _over(lambda q, s: p1.survivors(q, s).values, "questions", "source_files"),
         "p1_sources": _over(lambda q, s: p1.survivors(q, s).sources, "questions", "source_files"),
         "p2_found": _over(p2.found, "questions", "historical_events"),
-        "p2_restored": _over(p2.damaged, "questions", "historical_events"),
+        "p2_restored": _over(p2.restored, "questions", "historical_events"),
         "p3_found": _over(p3.found, "questions", "split_members"),
         "p3_report": _over(p3.report, "questions", "split_members"),
         "p4_found": _over(p4.found, "questions", "documents"),

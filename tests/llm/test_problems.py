@@ -132,6 +132,19 @@ def test_p2_partial_lost_and_clean(model):
         assert model.repair(clean)[1] == [], clean
 
 
+def test_p2_lost_letters_come_back(spark):
+    rows = [(i, x, None) for i, x in enumerate(["Siếc Ngợp", "Siếc Ngợp", "Lũy Tạ", "Lũy Tả", "Miềm Phừng?"])]
+    rows += [(90, "Si?c Ng?p", "Si���c Ng���p"), (91, "Mi?m Ph?ng?", "L?y T?"), (92, "Qu?x ?z", "Si?c ? Ng?p")]
+    ev = spark.createDataFrame(rows, "row_id long, h_label string, t_label string")
+    q = spark.createDataFrame([], Q)
+    got = {(r["rec_key"], r["field"]): (r["restored"], r["lossy"]) for r in p2.restored(q, ev).collect()}
+    assert got["90", "h_label"] == ("Siếc Ngợp", False) == got["90", "t_label"]
+    assert got["91", "h_label"] == ("Miềm Phừng?", False)
+    assert got["91", "t_label"] == ("Lũy T?", True)  # two words explain the last one
+    assert got["92", "h_label"] == ("Qu?x ?z", True) and got["92", "t_label"] == ("Siếc – Ngợp", False)
+    assert p2.restored(q, ev.limit(0)).count() == 0
+
+
 def test_p2_edges(spark, questions):
     ev = clashing(spark.createDataFrame([(1, "Siáº¿c Ngá»£p", None), (2, "", "x" * 20000), (1, "Siáº¿c Ngá»£p", None)], "row_id long, h_label string, t_label string"))
     got = [(r["rec_key"], r["field"], r["restored"]) for r in p2.damaged(questions, ev).collect()]
