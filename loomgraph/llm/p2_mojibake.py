@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 from loomgraph.session import cut
 
 _VOWELS = "aăâeêioôơuưy"
-_TONES = "̣̀́̃̉"
+_TONES = "\u0300\u0301\u0303\u0309\u0323"
 _VIET = "".join(unicodedata.normalize("NFC", v + t) for v in _VOWELS for t in ("", *_TONES)) + "đ"
 #: Characters of undamaged Vietnamese text and of ordinary typesetting.
 LETTERS = "".join(sorted(set(_VIET + _VIET.upper() + "".join(map(chr, range(97, 123))) + "".join(map(chr, range(65, 91))))))
-MARKS = _TONES + "̛̂̆"
-SIGNS = "–—‘’“”…«» "
+MARKS = _TONES + "\u0302\u0306\u031b"
+SIGNS = "–—‘’“”…«»\u00a0"
 CLEAN = "".join(map(chr, range(32, 127))) + "\t\n" + "".join(c for c in LETTERS if ord(c) > 126) + MARKS + SIGNS
 #: Characters that undamaged text may hold besides: they are rare, not signs of damage.
 _PLAIN = set("".join(map(chr, range(32, 127))) + "\t\n\r")
@@ -81,7 +81,7 @@ def images(ch: str, state: str) -> tuple[tuple[str, float], ...]:
         img = _read_as(img.encode(), codec)
     forms = {img: 0.6}
     dropped = "".join(c for c in img if not 0x80 <= ord(c) < 0xA0)
-    for form, w in ((dropped, 0.2), (img.replace(" ", " "), 0.15), (dropped.replace(" ", " "), 0.05)):
+    for form, w in ((dropped, 0.2), (img.replace("\u00a0", " "), 0.15), (dropped.replace("\u00a0", " "), 0.05)):
         if form:
             forms[form] = forms.get(form, 0) + w
     return tuple(forms.items())

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import _Keep, fold, nfc
+from loomgraph.functions.text import _Keep, nfc
 from loomgraph.llm.p1_survivor import source_key
 from loomgraph.session import cut
 
@@ -36,7 +36,7 @@ from loomgraph.session import cut
 OPENINGS = [s.split() for s in ("hãy cho biết", "xin hỏi", "bạn ơi", "cho hỏi", "cho biết", "xin cho biết", "xin hãy cho biết", "làm ơn cho biết", "vui lòng cho biết", "cho tôi hỏi", "cho mình hỏi", "cho tôi biết", "cho mình biết", "ai biết", "xin chào", "chào bạn", "dạ", "thưa", "ơi")]
 CLOSINGS = [s.split() for s in ("xin cho biết", "vậy", "thế", "nhỉ", "ạ", "với", "hả", "nhé", "vậy ạ", "thế ạ", "vậy nhỉ", "cảm ơn", "xin cảm ơn", "cảm ơn bạn", "được không", "hả bạn", "bạn nhỉ", "giúp tôi", "giúp mình")]
 ASKING = {"dau", "gi", "nao"}
-_SPLIT = _Keep(lambda ch: ch if ch.isalnum() or "̀" <= ch <= "ͯ" else None if ch in "­​‌‍⁠﻿" else " ")
+_SPLIT = _Keep(lambda ch: ch if ch.isalnum() or "\u0300" <= ch <= "\u036f" else None if ch in "\u00ad\u200b\u200c\u200d\u2060\ufeff" else " ")
 #: Fragment widths tried.
 _WIDTHS = (6, 5)
 _ROMAN = re.compile(r"[ivxlc]+$")

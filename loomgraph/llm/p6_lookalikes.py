@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.p2_mojibake import _CLEAN_SET as _CLEAN
 from loomgraph.llm.p2_mojibake import Model, bigram_counts
 
 #: Letters of other scripts and their Latin twins (fixed values).
@@ -62,9 +63,9 @@ def build_table() -> dict[str, str]:
 
 
 _TABLE = build_table()
-_MARK = "̀-ͯ᪰-᫿᷀-᷿︠-︯"
+_MARK = "\u0300-\u036f\u1ab0-᫿\u1dc0-\u1dff\ufe20-\ufe2f"
 _CLUSTER = re.compile(rf"\S[{_MARK}]+|[^\x00-\x7f]|[\t\n\r\x0b\x0c]")
-_INVISIBLE = "­​-‏‪-‮⁠-⁤⁦-⁯﻿᠎؜︀-️"
+_INVISIBLE = "\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufeff\u180e\u061c\ufe00-\ufe0f"
 _WORD = re.compile(rf"[^\W\d_][{_MARK}{_INVISIBLE}]*(?:[^\W\d_][{_MARK}{_INVISIBLE}]*)*")
 _LATIN: dict[str, bool] = {}
 
@@ -118,7 +119,7 @@ def _cluster_out(cluster: str, foreign: bool) -> str:
         parts = []
         for c in unicodedata.normalize("NFD", cluster):
             cat = unicodedata.category(c)
-            if cat == "Cf" or "︀" <= c <= "️":
+            if cat == "Cf" or "\ufe00" <= c <= "\ufe0f":
                 continue
             if cat in ("Zs", "Zl", "Zp") or c in "\t\n\r\x0b\x0c":
                 parts.append(" ")
@@ -169,8 +170,5 @@ def normalised(long: DataFrame) -> DataFrame:
     return long.mapInArrow(run, _SCHEMA)
 
 
-from loomgraph.llm.p2_mojibake import _CLEAN_SET as _CLEAN  # noqa: E402
-
-
 def found(events: DataFrame, samples: DataFrame) -> DataFrame:
     return normalised(labels_long(events, samples)).where("changed").select("tbl", "rec_key", "field")
