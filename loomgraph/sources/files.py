@@ -18,7 +18,7 @@ from loomgraph.schemas import EVENT_CODES, RAW_FACTS
 
 def plain_names(df: DataFrame) -> DataFrame:
     """Header names without a byte order mark and outer spaces."""
-    return df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
+    return df.toDF(*[c.lstrip("\ufeff").strip() for c in df.columns])
 
 
 def raw_facts(spark: SparkSession, path: str, src_file: str | None = None) -> DataFrame:

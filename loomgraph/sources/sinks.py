@@ -12,7 +12,7 @@ def fact_csv(df: DataFrame, path: str, columns: list[str], bom: bool = False) ->
     if out.isEmpty():
         return ""
     if bom:
-        out = out.withColumnRenamed(columns[0], "﻿" + columns[0])
+        out = out.withColumnRenamed(columns[0], "\ufeff" + columns[0])
     out.write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="", nullValue="")
     return path
 
