@@ -47,8 +47,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def _runs_sql(key: str, source: str) -> str:
+    """(key, g): every run of 12 folded words."""
+    words = rf"list_filter(string_split_regex(replace(lower(strip_accents(nfc_normalize(regexp_replace(text, '\p{{Cf}}', '', 'g')))), 'đ', 'd'), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+    return f"SELECT {key}, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM (SELECT {key}, {words} AS w FROM {source} WHERE text IS NOT NULL)"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p7_found": f"SELECT DISTINCT doc_id, item_id FROM ({_runs_sql('doc_id', 'documents')}) JOIN ({_runs_sql('item_id', 'eval_items')}) USING (g)",
         "p1_found": r"""
             WITH trust AS (SELECT regexp_replace(lower(regexp_replace(trim(file_name), '^.*[/\\]', '')), '\.csv$', '') AS src, min(priority) AS priority FROM source_files GROUP BY 1),
             rec AS (SELECT qid, fact_id,
