@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,37 +52,55 @@ def years(question: str) -> list[int]:
     return [-int(m[1]) if m[2] else int(m[1]) for m in YEAR.finditer(text)]
 
 
+#: Contexts of the end model are hashed to this many cells, so its size is fixed.
+CELLS = 1 << 17
+
+
+def _cell(context: str) -> int:
+    return zlib.crc32(context.encode()) & (CELLS - 1)
+
+
 class EndModel:
     """log P(text ends | its last characters): longest context of up to four characters with enough counts."""
 
-    def __init__(self, counts: dict[str, tuple[int, int]]):
-        self.counts = counts  # context -> (ends, continues)
+    def __init__(self, counts: dict[int, tuple[int, int]]):
+        self.counts = counts  # cell of the context -> (ends, continues)
 
     def score(self, text: str) -> float:
         t = "^" + text.lower()
         for k in range(4, 0, -1):
-            ends, goes = self.counts.get(t[-k:], (0, 0))
+            ends, goes = self.counts.get(_cell(t[-k:]), (0, 0))
             if ends + goes >= 5:
                 return float(np.log((ends + 0.1) / (ends + goes + 0.2)))
         return float(np.log(0.5))
 
 
-def end_counts(labels: DataFrame, col: str) -> dict[str, tuple[int, int]]:
-    """Contexts of one to four characters over all labels; contexts seen fewer than five times carry no weight and are not sent to the driver (the rest is bounded by label characters / 5)."""
+def end_counts(labels: DataFrame, col: str) -> dict[int, tuple[int, int]]:
+    """Ends and continuations after contexts of one to four characters, over all labels; at most CELLS rows reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
+        cells = np.zeros((CELLS, 2), np.int64)
+
+        def flush():
+            for ctx, v in seen.items():
+                cells[_cell(ctx)] += v
+            seen.clear()
+
         for b in batches:
             for x in b.column(0).to_pylist():
                 t = "^" + unicodedata.normalize("NFC", x).lower()
                 for i in range(1, len(t)):
-                    for k in range(1, 5):
-                        if i + 1 - k >= 0:
-                            seen.setdefault(t[i + 1 - k : i + 1], [0, 0])[0 if i == len(t) - 1 else 1] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], names=["ctx", "e", "g"])
-
-    rows = labels.where(F.length(col) > 0).select(col).mapInArrow(count, "ctx string, e long, g long").groupBy("ctx").agg(F.sum("e").alias("e"), F.sum("g").alias("g")).where("e + g >= 5")
-    return {r.ctx: (r.e, r.g) for r in rows.toPandas().itertuples(index=False)}
+                    for k in range(1, min(4, i + 1) + 1):
+                        seen.setdefault(t[i + 1 - k : i + 1], [0, 0])[0 if i == len(t) - 1 else 1] += 1
+                if len(seen) > 200_000:
+                    flush()
+        flush()
+        at = np.flatnonzero(cells.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at, 0]), pa.array(cells[at, 1])], names=["cell", "e", "g"])
+
+    rows = labels.where(F.length(col) > 0).select(col).mapInArrow(count, "cell long, e long, g long").groupBy("cell").agg(F.sum("e").alias("e"), F.sum("g").alias("g")).where("e + g >= 5")
+    return {r.cell: (r.e, r.g) for r in rows.toPandas().itertuples(index=False)}
 
 
 def _strip_place(text: str) -> str:
