@@ -7,8 +7,10 @@ counted over all undamaged texts, those of a pair's state follow from the same c
 its image under the pair. The Viterbi path gives the damaged spans, and each span gets the inverse transform of its
 state; where the damage lost bytes (dropped control characters) the bigram counts choose among the possible originals.
 
-Shortcut without loss: a text without any character from outside the clean alphabet, or question mark before further words, has the all-clean path, since every
-damaged span that can be told from clean text holds such a character; only other texts reach the Viterbi step.
+Images of damaged letters may be characters of the clean alphabet (à as "Ã ", ừ as "á»«", ế in TCVN3 as "Õ"), so every text with a character outside ASCII or a question
+mark goes to the model. Shortcut without loss: where no stretch of a text gains as much under the best other state of each character as it costs to enter one, the
+Viterbi path is all clean (`Model.open_texts`). Texts that hold a whole image of a letter are left out of the clean counts. A span of clean characters only is
+damage if its restored text is the more probable one as clean text, which a slip of letter case is not.
 
 Defined results: null and empty texts are clean; replacement signs (U+FFFD, or a question mark inside a word or before further words where a letter was) are damage; `restored` puts letters back where
 one clean word of the corpus explains them, else the signs stay and the value is marked lossy; texts of any length are labelled whole; repeated rows give repeated cases; an empty table gives an empty
@@ -117,6 +119,10 @@ class Model:
                         pairs.append((fa[-1], fb[0], k * wa * wb))
             self.logp.append(self._table(pairs, single, n))
         self.decoders = {s: self._decoder(s) for s in CODECS}
+        self.look = np.full(0x110000, n, np.int32)
+        self.look[[ord(c) for c in self.alphabet]] = np.arange(n)
+        self.gain = np.full((n + 1, n + 1), -1.0)
+        self.gain[:, :n] = np.max(self.logp[1:], axis=0) - np.where([c in _CLEAN_SET for c in self.alphabet], self.logp[0], [self._clean_extra(c) for c in self.alphabet])
 
     def _table(self, pairs, single, n):
         m = np.zeros((n, n), np.float64)
@@ -156,6 +162,23 @@ class Model:
             return -7.0
         return -20.0 if 0x80 <= ord(ch) < 0xA0 else -12.0 if cat[0] == "P" else -16.0
 
+    def open_texts(self, texts: list[str]) -> np.ndarray:
+        """Which texts may have another path than the all-clean one: an upper bound of the gain of any stretch exceeds the least cost of entering a state."""
+        cps = np.frombuffer("\0".join(["", *texts]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        ids, between = self.look[cps], np.cumsum([0, *(len(t) + 1 for t in texts)])[: len(texts)]
+        ids[between] = len(self.alphabet)
+        x = np.append(0.0, self.gain[ids[:-1], ids[1:]])
+        x[cps[: len(x)] == ord(LOST)] = 30.0
+        x[between] = -1e6  # no stretch crosses it
+        total = np.cumsum(x)
+        best = total - np.minimum.accumulate(np.append(0.0, total[:-1]))
+        return np.maximum.reduceat(best, between) > _ENTER_FIRST if texts else np.zeros(0, bool)
+
+    def clean_score(self, text: str, before: str, after: str) -> float:
+        """Log probability of a text as clean text between two neighbours."""
+        ids = self.look[[ord(c) for c in before + text + after]]
+        return float(sum(self.logp[0][a, b] if c in _CLEAN_SET else self._clean_extra(c) for a, b, c in zip(ids, ids[1:], text + after)))
+
     def label(self, text: str) -> np.ndarray:
         """Viterbi path: the state of each character."""
         n, k = len(text), len(STATES)
@@ -254,20 +277,29 @@ class Model:
         if not spans:
             return text, []
         out, at = [], 0
+        states = []
         for a, b, s in spans:
-            out.append(text[at:a])
             exact = self.restore_bytes(text[a:b], s)
             fixed = self.restore(text[a:b], s, text[a - 1] if a else " ") if exact is None else exact
             if fixed == text[a:b] and s != "lost":  # short spans fit several pairs: take one whose bytes are whole
                 fixed = next((x for c in CODECS if (x := self.restore_bytes(fixed, c)) and x != fixed), fixed)
-            out.append(fixed)
+            if s != "lost" and _CLEAN_SET.issuperset(text[a:b]):
+                near = text[a - 1 : a] or " ", text[b : b + 1] or " "
+                if self.clean_score(fixed, *near) <= self.clean_score(text[a:b], *near):
+                    continue
+            out += [text[at:a], fixed]
+            states.append(s)
             at = b
         out.append(text[at:])
-        return "".join(out), [s for _, _, s in spans]
+        return "".join(out), states
 
 
 _CLEAN_SET = frozenset(CLEAN)
 _LOST_SIGN = re.compile(r"�|\?.*\w", re.S)
+#: Least cost of a path that leaves the clean state: it starts in another one.
+_ENTER_FIRST = np.log(0.95) - np.log(0.05 / (len(STATES) - 1)) - 1e-3
+#: Images of letters in two or more characters, all of them clean ones.
+_WHOLE_IMAGES = sorted({f for c in LETTERS if ord(c) > 127 for s in CODECS for f, _ in images(c, s) if len(f) > 1 and _CLEAN_SET.issuperset(f)})
 
 
 def _ranges(chars: str) -> str:
@@ -286,9 +318,17 @@ def _ranges(chars: str) -> str:
 _SUSPECT = f"[^{_ranges(CLEAN + chr(13))}]"
 
 
+_IMAGE = "|".join("".join(f"\\x{{{ord(c):x}}}" for c in f) for f in _WHOLE_IMAGES)
+
+
 def suspect(col):
-    """JVM-side test for characters from outside the clean alphabet and for question marks before the last word."""
-    return F.coalesce(F.col(col).rlike(_SUSPECT) | F.col(col).rlike(r"(?s)\?.*[\p{L}\p{N}]"), F.lit(False))
+    """JVM-side test for texts that are not counted as clean: with characters from outside the clean alphabet, a whole image of a letter, or a question mark before the last word."""
+    return F.coalesce(F.col(col).rlike(_SUSPECT) | F.col(col).rlike(_IMAGE) | F.col(col).rlike(r"(?s)\?.*[\p{L}\p{N}]"), F.lit(False))
+
+
+def may_be_damaged(col):
+    """JVM-side test that every damaged text passes: a damaged span holds a character outside ASCII or a question mark."""
+    return F.coalesce(F.col(col).rlike(r"[^\x00-\x7f]|\?"), F.lit(False))
 
 
 def bigram_counts(texts: DataFrame, col: str = "text") -> dict[tuple[str, str], float]:
@@ -337,8 +377,9 @@ def repairs(long: DataFrame, counts: dict[tuple[str, str], float]) -> DataFrame:
         for b in batches:
             model = model or Model(counts)
             keep, fixed, how, lost = [], [], [], []
-            for i, text in enumerate(b.column(3).to_pylist()):
-                new, states = model.repair(text)
+            texts = b.column(3).to_pylist()
+            for i in np.flatnonzero(model.open_texts(texts)):
+                new, states = model.repair(texts[i])
                 if states:
                     keep.append(i)
                     fixed.append(new)
@@ -347,7 +388,7 @@ def repairs(long: DataFrame, counts: dict[tuple[str, str], float]) -> DataFrame:
             rows = b.take(pa.array(keep, pa.int32()))
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(fixed, pa.string()), pa.array(how, pa.string()), pa.array(lost, pa.bool_())], names=["tbl", "rec_key", "field", "text", "restored", "encoding", "lossy"])
 
-    return long.where(suspect("text")).mapInArrow(run, "tbl string, rec_key string, field string, text string, restored string, encoding string, lossy boolean")
+    return long.where(may_be_damaged("text")).mapInArrow(run, "tbl string, rec_key string, field string, text string, restored string, encoding string, lossy boolean")
 
 
 def damaged(questions: DataFrame, events: DataFrame) -> DataFrame:

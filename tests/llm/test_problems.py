@@ -152,6 +152,26 @@ def test_p2_edges(spark, questions):
     assert p2.found(empty(questions), empty(ev)).count() == 0
 
 
+def test_p2_images_that_are_clean_letters(spark):
+    bad = {"Xuyá»n Nhá»«": "Xuyển Nhừ", "Phiá»…n Khá»“m": "Phiễn Khồm", "Gước Khá»—ng": "Gước Khỗng", "Tẹo Tá»‘t nÃ\xa0o?": "Tẹo Tốt nào?", "Nơi sinh lÃ  gì?": "Nơi sinh là gì?", "Khæng Nhõ Tèt": "Khổng Nhừ Tốt", "Tèt Nhõ": "Tốt Nhừ"}
+    assert sum(set(x) <= set(p2.CLEAN) for x in bad) == 6
+    good = ["Xuyển Nhừ", "Phiễn Khồm", "Gước Khỗng", "Tẹo Tốt nào?", "Nơi sinh là gì?", "Khổng Nhừ Tốt", "SỰ KIỆN NÀO ĐÃ XẢY RA?", "CUỘC VÂY HÃM", *LABELS] * 20
+    rows = [(i, x, None) for i, x in enumerate([*good, "lĂNG Khồm", "“nơi sinh”", *bad])]
+    ev = spark.createDataFrame(rows, "row_id long, h_label string, t_label string")
+    got = {r["text"]: r["restored"] for r in p2.damaged(spark.createDataFrame([], Q), ev).collect()}
+    assert got == bad
+    assert p2.found(spark.createDataFrame([], Q), ev).count() == len(bad)
+
+
+def test_p2_shortcut_loses_no_path(model):
+    rng = random.Random(8)
+    texts = ["", "\0", LOST_TEXT := "Si\ufffdc", *LABELS, *("".join(rng.choice(p2.images(c, rng.choice(p2.CODECS)) if rng.random() < p else [(c,)])[0] for c in x) for x in LABELS for p in (0.05, 0.2, 0.6, 1) for _ in range(5))]
+    may = dict(zip(texts, model.open_texts(texts)))
+    assert may[LOST_TEXT] and not may[""] and not all(may[x] for x in LABELS)
+    assert all(may[x] or not model.label(x).any() for x in texts if x)
+    assert len(model.open_texts([])) == 0
+
+
 # 3
 @pytest.fixture(scope="module")
 def overlap_case(spark):
