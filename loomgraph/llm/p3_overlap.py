@@ -2,7 +2,7 @@
 
 Method: Aho-Corasick automata over sharded, normalised evaluation passages scan all training texts. A passage is the folded question
 without courteous openings and closings. Three disjoint fragments of it, the rarest of its shard, are the automaton's
-words: two mistyped letters cannot break all of them. Every training text of the passage's entity runs through the automaton
+words: with a letter between one and the next, two mistyped or swapped letters cannot break all of them. Every training text of the passage's entity runs through the automaton
 once; for each passage hit, the intervals of its eight chunks found in the training text are merged into a coverage of the
 evaluation record, and pairs with enough coverage go to the exact check of words (lost accents, at most two mistyped letters, same
 numbers and ordinals). Whether a differing word is a slip or another name is settled by its corpus count against the word it stands for.
@@ -39,6 +39,10 @@ ASKING = {"dau", "gi", "nao"}
 _SPLIT = _Keep(lambda ch: ch if ch.isalnum() or "\u0300" <= ch <= "\u036f" else None if ch in "\u00ad\u200b\u200c\u200d\u2060\ufeff" else " ")
 #: Fragment widths tried.
 _WIDTHS = (6, 5)
+#: Letters of a passage of which two mistyped ones can leave no fragment.
+_SHORT = 5
+#: Coverage that two mistyped or swapped letters always leave: each breaks at most two of eight chunks or more.
+_LEAST = 0.5
 _ROMAN = re.compile(r"[ivxlc]+$")
 
 
@@ -159,48 +163,46 @@ class Passages:
         grams = Counter(g for t in set(self.text) for w in _WIDTHS for g in {t[i : i + w] for i in range(len(t) - w + 1)}) if len(passages) > 1 else None
         auto: dict[str, list[int]] = {}
         for k, t in enumerate(self.text):
-            for s in self._fragments(t, grams):
+            for s in self._fragments(t, grams) if len(t) >= _SHORT else ():
                 auto.setdefault(s, []).append(k)
         self.auto = ahocorasick.Automaton()
         for s, ks in auto.items():
             self.auto.add_word(s, ks)
         if auto:
             self.auto.make_automaton()
+        #: Two mistyped letters can leave nothing of these: they go to the exact check against every text of about their length.
+        self.short = {k for k, t in enumerate(self.text) if len(t) < _SHORT}
         self.any = bool(auto)
 
     @staticmethod
     def _fragments(t: str, grams: Counter | None) -> list[str]:
-        """Three disjoint fragments, of which two mistyped letters leave one: the rarest of the shard, of the width that makes them rarest."""
+        """Three fragments with a letter between them, of which two mistyped or swapped letters leave one: the rarest of the shard, of the width that makes them rarest."""
         n = len(t)
+        step = (n - 2) // 3
+        even = [t[i : i + step] for i in range(0, 3 * (step + 1), step + 1)]
         if grams is None or n < 3 * max(_WIDTHS) + 2:
-            step = max(1, n // 3)
-            return [t[i : i + step] for i in range(0, step * 3, step) if t[i : i + step]]
+            return even
         best: tuple[int, list[str]] | None = None
         for w in _WIDTHS:
             df = [grams[t[i : i + w]] for i in range(n - w + 1)]
             taken: list[int] = []
             for i in sorted(range(len(df)), key=df.__getitem__):
-                if all(abs(i - j) >= w for j in taken):
+                if all(abs(i - j) > w for j in taken):
                     taken.append(i)
                     if len(taken) == 3:
                         break
             if len(taken) == 3 and (best is None or sum(df[i] for i in taken) < best[0]):
                 best = sum(df[i] for i in taken), [t[i : i + w] for i in taken]
-        if best is None:
-            step = n // 3
-            return [t[i : i + step] for i in range(0, step * 3, step)]
-        return best[1]
+        return even if best is None else best[1]
 
     def scan(self, text: str, least: float, slack: int = 2) -> list[tuple[int, float]]:
         """(passage, coverage) of the passages that may stand in the text: merged intervals of their chunks found in it.
 
         slack: passages whose length differs by more letters than may be mistyped are another question.
         """
-        if not self.any:
-            return []
         n = len(text)
         out = []
-        for k in {k for _, ks in self.auto.iter(text) for k in ks}:
+        for k in self.short.union(k for _, ks in self.auto.iter(text) for k in ks) if self.any else self.short:
             t = self.text[k]
             if abs(len(t) - n) > slack:
                 continue
@@ -208,7 +210,7 @@ class Passages:
                 out.append((k, 1.0))
                 continue
             step = max(1, len(t) // 8)
-            lost, most = 0, (1 - least) * len(t)
+            lost, most = 0, (1 - least) * len(t) if k not in self.short else len(t)
             for i in range(0, len(t), step):
                 piece = t[i : i + step]
                 if piece not in text:
@@ -216,7 +218,7 @@ class Passages:
                     if lost > most:
                         break
             else:
-                out.append((k, 1 - lost / len(t)))
+                out.append((k, 1 - lost / max(1, len(t))))
         return out
 
 
@@ -230,7 +232,7 @@ def _scan_cell(pdf: pd.DataFrame) -> pd.DataFrame:
             continue
         passages = Passages([core for _, core in ev])
         for cid, core in tr:
-            found = passages.scan(plain(core).replace(" ", ""), 0.7)
+            found = passages.scan(plain(core).replace(" ", ""), _LEAST)
             if found:
                 words = core.split()
                 for k, cover in found:

@@ -245,6 +245,28 @@ def test_p3_pairs_of_words(a, b, same):
     assert (got is not None) == (same is not False) if same is not None else got is None or got
 
 
+@pytest.mark.parametrize("many", [False, True])
+def test_p3_two_slips_anywhere_reach_the_exact_check(many):
+    import pandas as pd
+
+    rng = random.Random(9)
+    swap = lambda x, i: x[:i] + x[i + 1] + x[i] + x[i + 2 :]
+    names = ["ab", "abcd", "doải", "gủi ở đâu", "nguật trước sinh ra", "ngợp gủi tránh diễn tránh ở đâu", "trận siếc ngợp phĩa tránh diễn ra tại đâu"]
+    for name in names:
+        edits = [lambda x, i: swap(x, i) if " " not in x[i : i + 2] else x, lambda x, i: x[:i] + "k" + x[i + 1 :] if x[i] != " " else x, lambda x, i: x[:i] + x[i + 1 :] if x[i] != " " else x, lambda x, i: x[:i] + "k" + x[i:]]
+        texts = {name}
+        for _ in range(1500):
+            x = name
+            for _ in range(2):
+                x = rng.choice(edits)(x, rng.randrange(len(x) - 1)) if len(x) > 1 else x
+            texts.add(" ".join(x.split()))
+        texts = sorted(x for x in texts if x)
+        rows = [("E", n, f"e{n}", True) for n in ([name, *names] if many else [name])] + [("E", x, x, False) for x in texts]
+        got = p3._scan_cell(pd.DataFrame(rows, columns=["entity", "core", "cid", "is_eval"]))
+        want = {x for x in texts if p3.compare(name.split(), x.split()) is not None}
+        assert set(got[got.eval_cid == f"e{name}"].train_cid) == want, name
+
+
 def test_p3_empty_and_report(spark, overlap_case):
     q, m = overlap_case
     assert p3.found(empty(q), m).count() == 0 == p3.found(q, empty(m)).count()
