@@ -2,9 +2,9 @@
 
 Method: the language posteriors of prompt and response come from the character n-gram naive Bayes model of problem 9
 (trained on the labelled documents); a response whose posterior says another language than its prompt's is worded in
-another language. Truncation uses an end-of-text n-gram model, counted over all full labels: the likelihood that a text ends after
-its last characters. It flags answers cut inside a word on its own; an answer cut between words is recognised by the
-exact check that it is the beginning of the entity's full label. Empty, copied and refused answers and wrong years are exact checks.
+another language. Truncation is the exact check that an answer is the beginning of the entity's full label. The end-of-text
+n-gram model, counted over all full labels, gives the likelihood that a text ends after its last characters; it is reported as
+`end_score` and decides only for rows without any label, since an answer cut between words ends as naturally as a whole one. Empty, copied and refused answers and wrong years are exact checks.
 
 Kinds, first match wins: empty, refusal, copy, truncated, language, year.
 
