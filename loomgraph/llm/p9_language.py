@@ -2,16 +2,18 @@
 
 Method: Bayesian evidence fusion. The text likelihood of each language is a naive Bayes model over character
 4-grams of the folded text (no accents, so unaccented text keeps its language), counted over all documents whose declared
-label names a language. It is combined with P(declared label | language), counted likewise, and with a host prior:
-language shares of the source, smoothed towards those of its origin format, smoothed towards the overall ones, all by grouped aggregation. Where
-documents have an address column its country suffix is one more piece of evidence (`suffix_col`).
+label names a language; any other language has all 4-grams alike. It is combined with P(declared label | language), counted over all documents by the language their text
+alone gives, with a missing label as one of the outcomes, and with a host prior: language shares of the source, smoothed towards those of its origin format, smoothed towards the
+overall ones, all by grouped aggregation. Where documents have an address column its country suffix is one more piece of evidence (`suffix_col`).
 
-Sentences get text posteriors of their own; a document is mixed when whole sentences of a second language stand in it, and its
-contiguous sentences of one language are its segments. Titles in quotation marks are left out of the evidence.
+The same fusion decides on sentences: a sentence's prior is that it is in the document's language (itself fused) with probability `stay`, else in one of the others by the
+host prior; short or ambiguous sentences thus follow their document. A document is mixed when whole sentences of a second language stand in it, and its contiguous sentences of
+one language are its segments. Titles in quotation marks are left out of the evidence, unless hardly anything stands outside them: such a sentence is never a second
+language, but it decides where a document has no other evidence.
 
 Defined results: null, empty or letterless text has no text evidence; its language is null with confidence 0 in
-`documents` and it makes no segment and no found row; labels are read by code, region code, three-letter code or name in any
-case; texts are read whole; repeated rows are kept; an empty table gives empty results; extra columns are ignored.
+`documents` and it makes no segment and no found row; a text in none of the six languages is `other` and no found row; labels are read by code, region code, three-letter code or
+name in any case; texts are read whole; repeated rows are kept; an empty table gives empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import fold
+from loomgraph.llm.folding import folded
 from loomgraph.session import cut
 
 LANGS = ("vi", "en", "fr", "de", "es", "pt")
+OTHER = "other"
+ALL = (*LANGS, OTHER)
 #: Spellings of the six languages besides their codes (fixed values).
 NAMES = {
     "vie": "vi", "vn": "vi", "vietnamese": "vi", "tiếng việt": "vi", "tieng viet": "vi", "viet": "vi", "việt": "vi", "eng": "en", "english": "en", "fra": "fr", "fre": "fr", "french": "fr", "français": "fr", "francais": "fr",
@@ -57,13 +61,18 @@ def _hashes(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, ~(digit[:-3] | digit[1:-2] | digit[2:-1] | digit[3:])
 
 
-def grams(folded: str) -> np.ndarray:
-    """Buckets of the character 4-grams of a folded text, digits skipped."""
-    c = np.frombuffer((" " + folded + " ").encode("utf-32-le"), np.uint32)
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the character 4-grams of many texts in one array pass, the text of each, and the words of each text. Digits are skipped and no 4-gram crosses a text."""
+    c = folded(texts).astype(np.uint32)
     if len(c) < 4:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(texts), np.int64)
+    end = c == 10
+    owner = np.cumsum(end) - end
+    starts = (c[1:] != 32) & ~end[1:] & (c[:-1] == 32)
+    words = np.bincount(owner[1:][starts], minlength=len(texts))
     h, ok = _hashes(c)
-    return (h[ok] & np.uint32(BUCKETS - 1)).astype(np.int64)
+    ok &= ~(end[:-3] | end[1:-2] | end[2:-1] | end[3:])
+    return (h[ok] & np.uint32(BUCKETS - 1)).astype(np.int64), owner[:-3][ok], words
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -78,161 +87,180 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 class TextModel:
-    """log P(4-gram | language), add-half smoothed."""
+    """log P(4-gram | language), add-half smoothed; the last column is any other language, to which all 4-grams are alike."""
 
     def __init__(self, counts: np.ndarray):
         c = counts + 0.5
-        self.logp = np.log(c / c.sum(1, keepdims=True)).astype(np.float64).T.copy()  # bucket x language
+        logp = np.log(c / c.sum(1, keepdims=True)).T
+        self.logp = np.hstack([logp, np.full((BUCKETS, 1), -np.log(BUCKETS))])  # bucket x language
+
+    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log-likelihoods (texts x languages), 4-grams and words of each text."""
+        g, owner, words = grams(texts)
+        n = np.bincount(owner, minlength=len(texts))
+        ll = np.zeros((len(texts), len(ALL)))
+        if len(g):
+            ll[n > 0] = np.add.reduceat(self.logp[g], np.flatnonzero(np.diff(owner, prepend=-1)), axis=0)
+        return ll, n, words
 
     def loglik(self, text: str) -> tuple[np.ndarray, int]:
-        g = grams(fold(text))
-        return (self.logp[g].sum(0) if len(g) else np.zeros(len(LANGS))), len(g)
+        ll, n, _ = self.scores([text])
+        return ll[0], int(n[0])
 
 
 def train(docs: DataFrame) -> np.ndarray:
     """Counts (language x bucket) over every document with a usable label; at most languages x buckets numbers reach the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(LANGS), BUCKETS), np.int64)
+        total = np.zeros(len(LANGS) * BUCKETS, np.int64)
         for b in batches:
-            by: dict[str, list[str]] = {}
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if text:
-                    by.setdefault(lang, []).append(fold(_QUOTED.sub(" ", text)))
-            for lang, texts in by.items():
-                total[LANGS.index(lang)] += np.bincount(grams(" ".join(texts)), minlength=BUCKETS)
-        i, j = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(i * BUCKETS + j), pa.array(total[i, j])], names=["cell", "n"])
-
-    rows = docs.select(declared(F.col("lang")).alias("l"), "text").where("l is not null").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                lang = np.array([LANGS.index(x) for x in part.column(0).to_pylist()])
+                g, owner, _ = grams([_QUOTED.sub(" ", t) if t else "" for t in part.column(1).to_pylist()])
+                total += np.bincount(lang[owner] * BUCKETS + g, minlength=len(total)) if len(g) else 0
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
+
+    rows = docs.select(declared(F.col("lang")).alias("l"), "text").where("l is not null").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(len(LANGS) * BUCKETS)
-    for r in rows.toPandas().itertuples(index=False):
-        counts[r.cell] = r.n
+    counts[rows.cell.to_numpy(np.int64)] = rows.n.to_numpy()
     return counts.reshape(len(LANGS), BUCKETS)
 
 
-_EVIDENCE = "ll array<double>, n_grams long, seg_start array<int>, seg_end array<int>, seg_lang array<string>, seg_conf array<double>, langs array<string>"
+_EVIDENCE = "s_start array<int>, s_end array<int>, s_ll array<float>, s_words array<int>, s_quoted array<boolean>, text_lang int, n_grams long"
 
 
-def text_evidence(docs: DataFrame, counts: np.ndarray, margin: float = 12.0, min_words: int = 6) -> DataFrame:
-    """Log-likelihoods and segments of each document, beside all its columns but the text (the last one), so that no join brings them together.
+def text_evidence(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+    """Sentences of each document with their log-likelihoods, beside all its columns but the text (the last one), so that no join brings them together.
 
-    margin: log-likelihood lead over the document's main language that makes a sentence one of another language;
-    min_words: words a sentence needs to count as a whole one.
+    text_lang: the language (its number) that the text alone gives, -1 without text; n_grams: 4-grams outside quotations, or inside where there are no others.
     """
-
     kept = [c for c in docs.columns if c != "text"]
-    types = [pa.list_(pa.float64()), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.float64()), pa.list_(pa.string())]
-    names = ["ll", "n_grams", "seg_start", "seg_end", "seg_lang", "seg_conf", "langs"]
+    names = [*kept, "s_start", "s_end", "s_ll", "s_words", "s_quoted", "text_lang", "n_grams"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = TextModel(counts)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                texts = [t or "" for t in part.column(len(kept)).to_pylist()]
-                cols = list(zip(*_documents(model, texts, margin, min_words)))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *[pa.array(c, t) for c, t in zip(cols, types)]], names=[*kept, *names])
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *_sentence_rows(model, [t or "" for t in part.column(len(kept)).to_pylist()])], names=names)
 
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*kept).dtypes)
     return docs.select(*kept, "text").mapInArrow(run, f"{schema}, {_EVIDENCE}")
 
 
-def sentence_scores(model: TextModel, folded: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Log-likelihoods and 4-gram counts of many folded sentences in one array pass; no 4-gram crosses a sentence."""
-    c = np.frombuffer(("\n" + "".join(" " + f + " \n" for f in folded)).encode("utf-32-le"), np.uint32)
-    h, ok = _hashes(c)
-    ok &= ~((c[:-3] == 10) | (c[1:-2] == 10) | (c[2:-1] == 10) | (c[3:] == 10))
-    owner = np.cumsum(c == 10)[:-3][ok] - 1
-    g = (h[ok] & np.uint32(BUCKETS - 1)).astype(np.int64)
-    lens = np.bincount(owner, minlength=len(folded))
-    lls = np.zeros((len(folded), len(LANGS)))
-    if len(g):
-        lls[lens > 0] = np.add.reduceat(model.logp[g], np.flatnonzero(np.diff(owner, prepend=-1)), axis=0)
-    return lls, lens
-
-
-def _documents(model: TextModel, texts: list[str], margin: float, min_words: int) -> Iterator[tuple]:
+def _sentence_rows(model: TextModel, texts: list[str]) -> list[pa.Array]:
     spans = [sentences(t) for t in texts]
-    folded = [fold(_QUOTED.sub(" ", t[a:b])) for t, sp in zip(texts, spans) for a, b in sp]
-    lls, lens = sentence_scores(model, folded)
-    words = np.array([f.count(" ") + 1 if f else 0 for f in folded], np.int64)
-    at = 0
-    for sp in spans:
-        to = at + len(sp)
-        yield _document(sp, lls[at:to], lens[at:to], words[at:to], margin, min_words)
-        at = to
-
-
-def _document(spans, lls: np.ndarray, lens: np.ndarray, words: np.ndarray, margin: float, min_words: int):
-    if not spans:
-        return [0.0] * len(LANGS), 0, [], [], [], [], []
-    total = lls.sum(0)
-    whole = (words >= min_words) & (lens > 0)
-    best = lls.argmax(1)
-    # main language: the one with most characters in whole sentences, by each sentence's own best
-    weight = np.zeros(len(LANGS))
-    np.add.at(weight, best[whole] if whole.any() else best, lens[whole] if whole.any() else lens)
-    main = int(weight.argmax()) if weight.any() else int(total.argmax())
-    lead = lls[np.arange(len(spans)), best] - lls[:, main]
-    other = whole & (best != main) & (lead > margin)
-    lang = np.where(other, best, main)
-    for i in range(len(spans)):  # short sentences follow the sentence before them, or after at the start
-        if not whole[i] and lead[i] <= margin:
-            j = next((k for k in range(i - 1, -1, -1) if whole[k]), next((k for k in range(i + 1, len(spans)) if whole[k]), None))
-            lang[i] = lang[j] if j is not None else main
-    kinds = [LANGS[k] for k in dict.fromkeys(lang[whole].tolist())] if whole.any() else ([LANGS[main]] if lens.sum() else [])
+    whole = [t[a:b] for t, sp in zip(texts, spans) for a, b in sp]
+    bare = [_QUOTED.sub(" ", x) for x in whole]
+    quoted = np.array([len(x) > len(y) and sum(map(str.isalpha, y)) < 6 for x, y in zip(whole, bare)], bool)
+    ll, n, words = model.scores([x if q else y for x, y, q in zip(whole, bare, quoted)])
+    off = np.cumsum([0, *map(len, spans)])
+    doc = np.repeat(np.arange(len(texts)), np.diff(off))
+    # quotations count only in documents that have nothing else
+    used = ~quoted | (np.bincount(doc, weights=n * ~quoted, minlength=len(texts))[doc] == 0) if len(doc) else quoted
+    total = np.zeros((len(texts), len(ALL)))
+    np.add.at(total, doc[used], ll[used])
+    n_grams = np.bincount(doc[used], weights=n[used], minlength=len(texts)).astype(np.int64)
+    ll = np.where(used[:, None], ll, 0) if len(doc) else ll
+    lang = np.where(n_grams > 0, total.argmax(1), -1)
+    lists = lambda v, t, k=1: pa.ListArray.from_arrays(pa.array(off * k, pa.int32()), pa.array(v, t))
+    flat = np.array([x for sp in spans for x in sp], np.int64).reshape(-1, 2)
+    return [lists(flat[:, 0], pa.int32()), lists(flat[:, 1], pa.int32()), lists(ll.astype(np.float32).ravel(), pa.float32(), len(ALL)), lists(words, pa.int32()), lists(quoted, pa.bool_()), pa.array(lang, pa.int32()), pa.array(n_grams)]
+
+
+_FUSED = "doc_id long, label string, declared string, lang string, confidence double, langs array<string>, seg_start array<int>, seg_end array<int>, seg_lang array<string>, seg_conf array<double>"
+
+
+def _fuse(batches: Iterator[pa.RecordBatch], temper: float, stay: float, sure: float, min_words: int) -> Iterator[pa.RecordBatch]:
+    """Fuses the evidence of each document (columns: doc_id, label, declared, host prior, label and suffix log-likelihoods, sentences) and then of its sentences."""
+    for b in batches:
+        out: list[list] = [[] for _ in range(7)]
+        cols = [c.to_pylist() for c in b.columns[3:]]
+        for prior, label, suffix, start, end, ll, words, quoted, n in zip(*cols):
+            row = _fuse_document(np.array(prior), np.array(label) + np.array(suffix), start, end, np.array(ll, np.float64).reshape(-1, len(ALL)) * temper, np.array(words), np.array(quoted, bool), n, stay, sure, min_words)
+            for o, v in zip(out, row):
+                o.append(v)
+        types = [pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.float64())]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], *[pa.array(o, t) for o, t in zip(out, types)]], names=["doc_id", "label", "declared", "lang", "confidence", "langs", "seg_start", "seg_end", "seg_lang", "seg_conf"])
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(-1, keepdims=True))
+    return e / e.sum(-1, keepdims=True)
+
+
+def _fuse_document(prior, meta, start, end, ll, words, quoted, n, stay, sure, min_words):
+    if not n:
+        return None, 0.0, [], [], [], [], []
+    post = _softmax(ll.sum(0) + prior + meta)
+    main = int(post.argmax())
+    # a sentence is in the document's language, or in another one by the host prior
+    rest = _softmax(np.where(np.arange(len(ALL)) == main, -np.inf, prior))
+    sentence = ll + np.log(np.where(np.arange(len(ALL)) == main, stay, (1 - stay) * rest))
+    p = _softmax(sentence)
+    lang = np.where(p[:, main] < 1 - sure, p.argmax(1), main)
+    lang[quoted | (words < min_words)] = main
+    if (lang != main).any():
+        weight = np.bincount(lang, weights=words, minlength=len(ALL))
+        if weight[main] == 0:  # every sentence is in another language than all of them together: the largest share counts
+            main = int(weight.argmax())
+            post = _softmax(ll[lang == main].sum(0) + prior + meta)
+        short = words < min_words
+        near = np.where(short, -1, np.arange(len(lang)))
+        before = np.maximum.accumulate(near)
+        at = np.where(before >= 0, before, np.argmax(~short) if (~short).any() else 0)
+        lang = np.where(short, lang[at], lang)  # a few words follow the sentence before them
+    kinds = [k for k in dict.fromkeys(lang[(words >= min_words) & ~quoted].tolist())] or [main]
+    edge = np.flatnonzero(np.diff(lang, prepend=-1))
     s, e, sl, sc = [], [], [], []
-    i = 0
-    while i < len(spans):
-        j = i
-        while j + 1 < len(spans) and lang[j + 1] == lang[i]:
-            j += 1
-        ll = lls[i : j + 1].sum(0)
-        p = np.exp(ll - ll.max())
-        s.append(spans[i][0])
-        e.append(spans[j][1])
-        sl.append(LANGS[lang[i]])
-        sc.append(float(round(p[lang[i]] / p.sum(), 6)))
-        i = j + 1
-    return total.tolist(), int(lens.sum()), s, e, sl, sc, kinds
-
-
-def fused(docs: DataFrame, temper: float = 0.2, strength: float = 20.0, suffix_col: str | None = None) -> DataFrame:
+    for a, z in zip(edge, [*edge[1:], len(lang)]):
+        k = int(lang[a])
+        s.append(start[a])
+        e.append(end[z - 1])
+        sl.append(ALL[k])
+        sc.append(round(float(_softmax(ll[a:z].sum(0) + np.log(np.where(np.arange(len(ALL)) == main, stay, (1 - stay) / (len(ALL) - 1))))[k]), 6))
+    return ALL[main], round(float(post[main]), 6), [ALL[k] for k in kinds], s, e, sl, sc
+
+
+def fused(docs: DataFrame, temper: float = 0.2, strength: float = 20.0, stay: float = 0.97, sure: float = 0.9, min_words: int = 4, suffix_col: str | None = None) -> DataFrame:
     """One row per document: declared label, language, confidence, languages found and segments.
 
-    temper: weight of the text log-likelihood (its 4-grams overlap, so they are not independent evidence);
-    strength: pseudo-count of each smoothing level of the host prior.
+    temper: weight of the text log-likelihood (its 4-grams overlap, so they are not independent evidence); strength: pseudo-count of each smoothing level of the host prior and of
+    the label's table; stay: prior probability that a sentence is in its document's language; sure: posterior of another language that makes a sentence one of it;
+    min_words: words a sentence needs to be a whole one.
     """
     counts = train(docs)
     host = F.coalesce(F.regexp_replace(F.lower(F.trim("source")), r"[\s_-]+", "_"), F.lit("(none)"))
     suffix = F.create_map(*[F.lit(x) for kv in SUFFIX_LANG.items() for x in kv])[F.regexp_extract(F.lower(F.col(suffix_col)), r"^[a-z+]*:?/*[^/:]*\.([a-z]+)(?:[:/]|$)", 1)] if suffix_col else F.lit(None).cast("string")
     meta = docs.select("doc_id", F.col("lang").alias("label"), declared(F.col("lang")).alias("declared"), host.alias("host"), F.coalesce("origin_format", F.lit("(none)")).alias("fmt"), suffix.alias("suffix"), "text")
-    seen = docs.select(declared(F.col("lang")).alias("declared"), host.alias("host"), F.coalesce("origin_format", F.lit("(none)")).alias("fmt"))
-    cube = cut(seen.groupBy("host", "fmt", "declared").agg(F.count("*").alias("n")))
+    base = cut(text_evidence(meta, counts))
+    # one table of (host, format, label, language of the text) counts; it gives the label's table and the host prior
+    cube = cut(base.groupBy("host", "fmt", "declared", "text_lang").agg(F.count("*").alias("n")))
+    confusion = np.zeros((len(ALL), len(LANGS) + 1))
+    for r in cube.where("text_lang >= 0").groupBy("text_lang", "declared").agg(F.sum("n").alias("n")).collect():  # at most 7 x 7 rows
+        confusion[r["text_lang"], LANGS.index(r["declared"]) if r["declared"] else len(LANGS)] = r["n"]
+    spread = (confusion.sum(0) + 1) / (confusion.sum() + len(LANGS) + 1)
+    given = np.log((confusion + strength * 0.1 * spread) / (confusion.sum(1, keepdims=True) + strength * 0.1))
     known = cube.where("declared is not null")
     share = {r["declared"]: r["n"] for r in known.groupBy("declared").agg(F.sum("n").alias("n")).collect()}
     all_n = sum(share.values()) + len(LANGS)
     overall = {lang: (share.get(lang, 0) + 1) / all_n for lang in LANGS}
-    per_fmt = known.groupBy("fmt").agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("declared") == x, F.col("n")).otherwise(0)).alias(f"n_{x}") for x in LANGS])
+    each = [F.sum(F.when(F.col("declared") == x, F.col("n")).otherwise(0)).alias(f"n_{x}") for x in LANGS]
+    per_fmt = known.groupBy("fmt").agg(F.sum("n").alias("n"), *each)
     per_fmt = per_fmt.select("fmt", *[((F.col(f"n_{x}") + strength * overall[x]) / (F.col("n") + strength)).alias(f"f_{x}") for x in LANGS])
-    per_host = known.groupBy("host", "fmt").agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("declared") == x, F.col("n")).otherwise(0)).alias(f"n_{x}") for x in LANGS])
-    prior = per_host.join(per_fmt, "fmt").select("host", "fmt", F.array(*[F.log((F.col(f"n_{x}") + strength * F.col(f"f_{x}")) / (F.col("n") + strength)) for x in LANGS]).alias("host_prior"))
-
-    base = text_evidence(meta, counts)
-    # P(label | language): the label agrees with probability 0.9, else one of the other five
-    label = F.array(*[F.when(F.col("declared").isNull(), 0.0).when(F.col("declared") == x, float(np.log(0.9))).otherwise(float(np.log(0.02))) for x in LANGS])
-    tld = F.array(*[F.when(F.col("suffix").isNull(), 0.0).when(F.col("suffix") == x, float(np.log(0.7))).otherwise(float(np.log(0.06))) for x in LANGS])
-    flat = F.array(*[F.lit(float(np.log(overall[x]))) for x in LANGS])
-    joined = base.join(prior, ["host", "fmt"], "left").withColumn("prior", F.coalesce("host_prior", flat)).withColumn("label_ll", label).withColumn("tld_ll", tld)
-    score = F.array(*[F.col("ll")[i] * temper + F.col("label_ll")[i] + F.col("tld_ll")[i] + F.col("prior")[i] for i in range(len(LANGS))])
-    scored = joined.withColumn("score", score).withColumn("top", F.array_max("score"))
-    z = F.aggregate("score", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
-    best = F.element_at(F.array(*[F.lit(x) for x in LANGS]), F.array_position("score", F.col("top")).cast("int"))
-    has = F.col("n_grams") > 0
-    return scored.select(
-        "doc_id", "label", "declared", F.when(has, best).alias("fused_lang"), F.round(F.when(has, 1 / z).otherwise(0.0), 6).alias("confidence"), "langs", "seg_start", "seg_end", "seg_lang", "seg_conf",
-    ).withColumn("lang", F.when(F.size("langs") == 1, F.when((F.col("langs")[0] != F.col("fused_lang")) & (F.col("confidence") < 0.9), F.col("langs")[0]).otherwise(F.col("fused_lang"))).otherwise(F.col("fused_lang")))
+    per_host = known.groupBy("host", "fmt").agg(F.sum("n").alias("n"), *each)
+    rare = F.lit(float(np.log(1e-3)))  # prior of any other language
+    prior = per_host.join(per_fmt, "fmt").select("host", "fmt", F.array(*[F.log((F.col(f"n_{x}") + strength * F.col(f"f_{x}")) / (F.col("n") + strength)) for x in LANGS], rare).alias("host_prior"))
+    label_ll = F.lit(None)
+    for i, x in enumerate([*LANGS, None]):
+        label_ll = F.when(F.col("declared").eqNullSafe(F.lit(x)), F.array(*[F.lit(float(v)) for v in given[:, i]])).otherwise(label_ll)
+    tld = F.array(*[F.when(F.col("suffix").isNull(), 0.0).when(F.col("suffix") == x, float(np.log(0.7))).otherwise(float(np.log(0.05))) for x in ALL])
+    flat = F.array(*[F.lit(float(np.log(overall[x]))) for x in LANGS], rare)
+    joined = base.join(prior, ["host", "fmt"], "left")
+    ready = joined.select("doc_id", "label", "declared", F.coalesce("host_prior", flat).alias("prior"), label_ll.alias("label_ll"), tld.alias("tld"), "s_start", "s_end", "s_ll", "s_words", "s_quoted", "n_grams")
+    return ready.mapInArrow(lambda batches: _fuse(batches, temper, stay, sure, min_words), _FUSED)
 
 
 def documents(docs: DataFrame) -> DataFrame:
@@ -251,4 +279,4 @@ def found(docs: DataFrame) -> DataFrame:
     f = fused(docs)
     wrong = F.col("lang").isNotNull() & ~F.col("lang").eqNullSafe(F.col("declared"))
     case = F.when(F.size("langs") > 1, F.col("langs")).when(wrong, F.array("lang")).otherwise(F.array().cast("array<string>"))
-    return f.select("doc_id", F.explode(case).alias("lang"))
+    return f.select("doc_id", F.explode(case).alias("lang")).where(F.col("lang") != OTHER)

@@ -296,6 +296,23 @@ def test_p4_kinds(checker, question, answer, tau, kind):
     assert checker.defect(question, answer, "Siếc Ngợp", "Siếc Ngợp", tau)[0] == kind
 
 
+def test_p4_rests_on_its_models(docs):
+    """Without the end-of-text model nothing is truncated; the prompt's language is estimated: the same answer is a defect behind a Vietnamese prompt and none behind one of its own language."""
+    counts = p9.train(docs)
+    full = p4.Checker(counts, p4.end_counts(docs.select(F.lit("Siếc Ngợp").alias("x")), "x"))
+    none = p4.Checker(counts, {})
+    none.end.own = 0.0
+    assert full.defect("A sinh ra ở đâu?", "Siếc", "Siếc Ngợp", "Siếc Ngợp", None)[0] == "truncated" and none.defect("A sinh ra ở đâu?", "Siếc", "Siếc Ngợp", "Siếc Ngợp", None)[0] is None
+    answer = "the people of the village by the river and the temple of the king"
+    assert full.defect("người dân của làng kể câu chuyện ở đâu?", answer, "Siếc Ngợp", "Siếc Ngợp", None)[0] == "language"
+    assert full.defect("which people of the old city and the river built the temple for the king", answer, "Siếc Ngợp", "Siếc Ngợp", None)[0] is None
+
+
+def test_p4_stand_in_labels_need_no_digit(spark, docs):
+    rows = [q_row("a", 1, "x ở đâu?", t="T", t_label="N/A", label="N/A"), q_row("b", 2, "x năm 12 ở đâu?", t="T", t_label="N/A", label="N/A", tau=12)]
+    assert {tuple(r) for r in p4.found(spark.createDataFrame(rows, Q), docs).collect()} == {("a", "empty"), ("b", "empty")}
+
+
 def test_p4_full_label_is_the_majoritys(spark, docs):
     rows = [q_row(f"a{i}", i, f"câu {i} ở đâu?", t="T", t_label="Siếc Ngợp", label="Siếc Ngợp") for i in range(3)] + [q_row("b", 9, "x ở đâu?", t="T", t_label="Siếc", label="Siếc"), q_row("c", 9, "x ở đâu?", t=None, t_label=None, label="Lũy"), q_row("d", 9, "x" * 9000, t=" ", t_label="Lũy", label="Lũy")]
     q = clashing(spark.createDataFrame(rows, Q))
@@ -529,6 +546,43 @@ def test_p9_held_out_sentences(docs):
         assert p9.LANGS[int(model.loglik(text)[0].argmax())] == lang
 
 
+def test_p9_label_and_host_decide_where_the_text_says_little(spark, docs):
+    """The same two words follow the label, while a long text does not; quotations count where nothing else stands."""
+    rows = docs.where("doc_id < 180").select("doc_id", "text", "lang", "source", "origin_format").collect()
+    name = "Siec Ngop"
+    more = [(9001, name, "fr"), (9002, name, "de"), (9003, "“the old road and the temple of the king of the city”", None), (9005, " ".join(SENT["en"]), "fr")]
+    schema = "doc_id long, text string, lang string, source string, origin_format string"
+    d = spark.createDataFrame([tuple(r) for r in rows] + [(i, t, lang, None, None) for i, t, lang in more], schema)
+    got = {r["doc_id"]: (r["lang"], r["confidence"]) for r in p9.documents(d).collect()}
+    assert got[9001][0] == "fr" and got[9002][0] == "de"  # the label
+    assert got[9003][0] == "en" and got[9005][0] == "en"
+    assert got[9005][1] > got[9001][1]
+    assert {r["doc_id"] for r in p9.found(d).where("doc_id >= 9000").collect()} >= {9003, 9005} and not p9.found(d).where("doc_id in (9001, 9002)").count()
+
+
+def test_p9_knows_other_languages(spark, sf_dir):
+    model = p9.TextModel(p9.train(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    for text in ("Осада речной крепости длилась долго и закончилась весной того же года", "古渡口之戰發生在河邊的古城", "jokilaivojen pitkä taistelu päättyi keväällä vuonna tuhat"):
+        assert p9.ALL[int(model.loglik(text)[0].argmax())] == p9.OTHER
+
+
+def test_p9_confidence_is_calibrated(docs):
+    """Of held-out pieces of one to three words, about as many are right as the tempered posterior says."""
+    rng = random.Random(6)
+    model = p9.TextModel(p9.train(docs))
+    texts, truth = [], []
+    for lang, parts in SENT.items():
+        words = " ".join(parts).split()
+        for _ in range(200):
+            k = rng.randint(1, 3)
+            at = rng.randrange(len(words) - k)
+            texts.append(" ".join(words[at : at + k]))
+            truth.append(p9.LANGS.index(lang))
+    p = p9._softmax(model.scores(texts)[0] * 0.2)
+    right = p.argmax(1) == np.array(truth)
+    assert abs(p.max(1).mean() - right.mean()) < 0.2
+
+
 def test_p9_labels(spark):
     df = spark.createDataFrame([("VI ",), ("vi-VN",), ("Tiếng Việt",), ("es-419",), ("deu",), ("und",), ("??",), (None,), ("",), ("English",)], "l string")
     assert [r[0] for r in df.select(p9.declared(F.col("l"))).collect()] == ["vi", "vi", "vi", "es", "de", None, None, None, None, "en"]
