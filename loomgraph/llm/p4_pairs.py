@@ -1,10 +1,13 @@
 """Problem 4: broken question and answer pairs.
 
 Method: the language posteriors of prompt and response come from the character n-gram naive Bayes model of problem 9
-(trained on the labelled documents); a response whose posterior says another language than its prompt's is worded in
-another language. Truncation is the exact check that an answer is the beginning of the entity's full label. The end-of-text
-n-gram model, counted over all full labels, gives the likelihood that a text ends after its last characters; it is reported as
-`end_score` and decides only for rows without any label, since an answer cut between words ends as naturally as a whole one. Empty, copied and refused answers and wrong years are exact checks.
+(trained on the labelled documents, with a class for any other language). A response is worded in another language when its posterior odds of its own best language against the
+prompt's estimated language are high, and higher by the letter than the prompt's own.
+
+Truncation is flagged by the likelihood that a text ends where the answer ends, under an n-gram model with contexts of one to four characters, counted over all full labels of the
+corpus, and of unbounded length, counted over the full labels of the row's own entity. An answer that goes on in its entity's label ends there with a small probability, the
+smaller the less the corpus ends texts after such characters; an exact comparison with the beginning of the label then confirms it. Without any label the corpus contexts decide.
+Empty, copied and refused answers and wrong years are exact checks.
 
 Kinds, first match wins: empty, refusal, copy, truncated, language, year.
 
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import compare_key, fold
 from loomgraph.llm.p6_lookalikes import canonical
-from loomgraph.llm.p9_language import LANGS, TextModel, train
+from loomgraph.llm.p9_language import ALL, TextModel, train
 
 #: Stand-ins for nothing (fixed values), compared in lower case without outer brackets and signs.
 STAND_INS = {"n/a", "na", "nan", "none", "null", "nil", "nul", "trống", "không có", "chưa có", "không rõ", "chưa rõ", "unknown", "undefined", "empty", "tbd", "rỗng", "n.a", "missing", "no answer", "#n/a", "<na>", "không"}
@@ -52,6 +55,10 @@ def years(question: str) -> list[int]:
     return [-int(m[1]) if m[2] else int(m[1]) for m in YEAR.finditer(text)]
 
 
+#: Log probabilities of an end below which an answer counts as cut off, with and without a label of its entity, and least log-likelihood lead of another language.
+ENDS, NO_LABEL_ENDS, LEAD = float(np.log(0.02)), float(np.log(0.002)), 6.0
+#: Weight of the text's log-likelihood in a posterior (4-grams overlap).
+TEMPER = 0.2
 #: Contexts of the end model are hashed to this many cells, so its size is fixed.
 CELLS = 1 << 17
 
@@ -61,18 +68,26 @@ def _cell(context: str) -> int:
 
 
 class EndModel:
-    """log P(text ends | its last characters): longest context of up to four characters with enough counts."""
+    """log P(text ends | all characters before): the text's whole length as a context over its entity's labels, interpolated with the longest context of up to four characters that has
+    enough counts over all labels. `own`: weight of one label of the entity, in observations."""
 
-    def __init__(self, counts: dict[int, tuple[int, int]]):
-        self.counts = counts  # cell of the context -> (ends, continues)
+    def __init__(self, counts: dict[int, tuple[int, int]], own: float = 60.0):
+        self.counts, self.own = counts, own  # cell of the context -> (ends, continues)
 
-    def score(self, text: str) -> float:
+    def corpus(self, text: str) -> float:
+        """P(end) by the last characters alone."""
         t = "^" + text.lower()
         for k in range(4, 0, -1):
             ends, goes = self.counts.get(_cell(t[-k:]), (0, 0))
             if ends + goes >= 5:
-                return float(np.log((ends + 0.1) / (ends + goes + 0.2)))
-        return float(np.log(0.5))
+                return (ends + 0.1) / (ends + goes + 0.2)
+        return 0.5
+
+    def score(self, text: str, keys: list[str] = (), labels: list[str] = ()) -> float:
+        """keys: forms of the text; labels: the same forms of its entity's labels. A label is evidence where the text is its beginning."""
+        seen = {(x == y) for x in keys for y in labels if x and y.startswith(x)}
+        ends, goes = (1, 0) if True in seen else (0, 1) if seen else (0, 0)
+        return float(np.log((ends * self.own + self.corpus(text)) / ((ends + goes) * self.own + 1)))
 
 
 def end_counts(labels: DataFrame, col: str) -> dict[int, tuple[int, int]]:
@@ -118,29 +133,59 @@ def _signs(text: str) -> bool:
     return any(len({unicodedata.name(c, " ").split()[0] for c in w if c.isalpha()} & {"LATIN", "CYRILLIC", "GREEK"}) > 1 for w in text.split())
 
 
+_DIGIT = re.compile(r"\d")
+#: A question mark inside a word or before one: a lost letter.
+_ASKED = re.compile(r"\?\w")
+
+
+def _empty(answer: str) -> bool:
+    core = answer.strip().strip("\"'“”«»()[]{}<>").strip()
+    return not compare_key(core) or answer.strip().lower() in STAND_INS or core.lower().rstrip(".") in STAND_INS
+
+
 class Checker:
-    def __init__(self, counts: np.ndarray, ends: dict):
+    def __init__(self, counts: np.ndarray, ends: dict, main: str = "vi", share: float = 0.99):
+        """main, share: the language of the prompts and the share of prompts in it, as prior of a prompt's language."""
         self.nb, self.end = TextModel(counts), EndModel(ends)
-
-    def language_lead(self, text: str) -> tuple[str, float, float]:
-        """Best language of a text and its lead over Vietnamese in log-likelihood, in all and per 4-gram."""
+        self.prior = np.log([share if x == main else (1 - share) / (len(ALL) - 1) for x in ALL])
+        self.known: dict[str, bool] = {}
+
+    def fine(self, label: str) -> bool:
+        """Whether a label is no stand-in for nothing."""
+        if label not in self.known:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            self.known[label] = not _empty(canonical(label)[0])
+        return self.known[label]
+
+    def odds(self, text: str, against: int | None = None) -> tuple[int, float, float]:
+        """Number of the best language of a text and its log-likelihood lead over another one (Vietnamese if not given, the corpus' language), in all and per 4-gram."""
         ll, n = self.nb.loglik(text)
         best = int(ll.argmax())
-        lead = float(ll[best] - ll[0]) if n else 0.0
-        return LANGS[best], lead, lead / max(n, 1)
+        lead = float(ll[best] - ll[against or 0]) if n else 0.0
+        return best, lead, lead / max(n, 1)
+
+    def prompt_language(self, question: str | None, names: set[str]) -> int:
+        """Most probable language of a prompt, its answer's names left out. Damaged text says nothing about it, so the prior stays."""
+        words = [w for w in fold(question).split() if w not in names] if question and not _signs(question) and not _ASKED.search(question) else []
+        return int((TEMPER * self.nb.loglik(" ".join(words))[0] + self.prior).argmax())
 
     def defect(self, question, answer, full, own, tau) -> tuple[str | None, float]:
         """Kind of defect and the end-of-text score of the answer."""
         ans = canonical(answer)[0] if answer is not None else ""
         core = ans.strip().strip("\"'“”«»()[]{}<>").strip()
         key = compare_key(core)
-        if not key or ans.strip().lower() in STAND_INS or core.lower().rstrip(".") in STAND_INS:
+        if _empty(ans):
             return "empty", 0.0
-        end = self.end.score(re.sub(r"[\s.…。,;:!?]+$", "", core))
         labels = [canonical(x)[0] for x in (full, own) if x]
         full = labels[0] if labels else None
         keys = [compare_key(x) for x in labels]
         stripped = compare_key(_strip_place(core))
+        bare, tail = fold(core).replace(" ", ""), fold(_strip_place(core)).replace(" ", "")
+        forms = [[key, stripped], [bare, tail]]
+        goal = [keys[:1], [fold(full).replace(" ", "")] if full else []]
+        text = re.sub(r"[\s.…。,;:!?]+$", "", core)
+        end = max((self.end.score(text, f, g) for f, g in zip(forms, goal)), key=abs)
         good = bool(keys) and (key == keys[0] or stripped == keys[0])
         if not good:
             low, folded = core.lower(), fold(core)
@@ -148,16 +193,13 @@ class Checker:
                 return "refusal", end
             if question and self._copies(core, question, full):
                 return "copy", end
-            if keys and keys[0] and (len(key) < len(keys[0]) or stripped and len(stripped) < len(keys[0])):
-                ff = fold(full).replace(" ", "")
-                fk, fs = folded.replace(" ", ""), fold(_strip_place(core)).replace(" ", "")
-                if keys[0].startswith(key) or (stripped and keys[0].startswith(stripped)) or (fk and ff.startswith(fk) and len(fk) < len(ff)) or (fs and ff.startswith(fs) and len(fs) < len(ff)):
-                    return "truncated", end
+            if end < ENDS and self._begins(forms, goal):
+                return "truncated", end
             if not (len(keys) > 1 and key == keys[1]):
                 lang = self._foreign(core, full, question)
                 if lang:
                     return "language", end
-                if not keys and end < np.log(0.002):
+                if not keys and end < NO_LABEL_ENDS:
                     return "truncated", end
         if question:
             ys = years(question)
@@ -165,6 +207,11 @@ class Checker:
                 return "year", end
         return None, end
 
+    @staticmethod
+    def _begins(forms: list[list[str]], goal: list[list[str]]) -> bool:
+        """Whether one form of the answer is a proper beginning of the same form of the label."""
+        return any(x and len(x) < len(y) and y.startswith(x) for f, g in zip(forms, goal) for x in f for y in g)
+
     def _copies(self, core: str, question: str, full: str | None) -> bool:
         q, a = fold(question).replace(" ", ""), fold(COPY_LEAD.sub("", core)).replace(" ", "")
         if not q or not a:
@@ -198,11 +245,12 @@ class Checker:
         words = core.split()
         named = {fold(w) for i, w in enumerate(words) if w[:1].isupper() and (i or len(words) > 1) and any(not c.isascii() for c in w)}
         rest = " ".join(w for w in rest.split() if w not in named)
-        lang, lead, rate = self.language_lead(rest)
-        if lang == "vi" or lead < 6.0:
+        prompt = self.prompt_language(question, set(rest.split()) | (set(fold(full).split()) if full else set()))
+        lang, lead, rate = self.odds(rest, prompt)
+        if lang == prompt or lead < LEAD:
             return None
         # a prompt that names a foreign event leans to that language a little, a response worded in it throughout
-        return lang if question is None or self.language_lead(question)[2] < rate else None
+        return ALL[lang] if question is None or self.odds(question, prompt)[2] < rate else None
 
 
 def defects(questions: DataFrame, documents: DataFrame) -> DataFrame:
@@ -213,8 +261,6 @@ def defects(questions: DataFrame, documents: DataFrame) -> DataFrame:
     votes = rows.where("ent is not null and trim(own) <> ''").groupBy("ent", "own").agg(F.count("*").alias("n"))
     full = votes.groupBy("ent").agg(F.min(F.struct((-F.col("n")).alias("k"), (-F.length("own")).alias("len"), "own"))["own"].alias("full"))
     checked = rows.join(full, "ent", "left").withColumn("full", F.coalesce("full", "own"))
-    # an answer that is the full label leaves only the year to check
-    todo = checked.where(~F.coalesce(F.col("answer_label") == F.col("full"), F.lit(False)) | F.col("question").rlike(r"\d"))
     counts, ends = train(documents), end_counts(full, "full")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,13 +269,15 @@ def defects(questions: DataFrame, documents: DataFrame) -> DataFrame:
             out = ([], [], [])
             cols = [b.column(i).to_pylist() for i in range(6)]
             for qid, q, a, f, o, tau in zip(*cols):
+                if a == f and a is not None and check.fine(a) and not (q and _DIGIT.search(q)):
+                    continue  # the full label is the answer and no year is asked: nothing is left to check
                 kind, end = check.defect(q, a, f, o, tau)
                 if kind:
                     for c, v in zip(out, (qid, kind, round(end, 6))):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], names=["qid", "defect", "end_score"])
 
-    return todo.select("qid", "question", "answer_label", "full", "own", F.col("tau_start").cast("int").alias("tau_start")).mapInArrow(run, "qid string, defect string, end_score double")
+    return checked.select("qid", "question", "answer_label", "full", "own", F.col("tau_start").cast("int").alias("tau_start")).mapInArrow(run, "qid string, defect string, end_score double")
 
 
 def found(questions: DataFrame, documents: DataFrame) -> DataFrame:
