@@ -85,7 +85,9 @@ def empty(df):
 
 # 1
 def test_p1_keeps_the_trusted_record(spark, questions, files):
-    got = {r["qid"] for r in p1.survivors(questions, files, iterations=2).records.collect()}
+    run = p1.survivors(questions, files, ranked=True, iterations=2)
+    got = {r["qid"] for r in run.chosen.collect()}
+    assert got == {r["qid"] for r in run.records.collect()}
     groups = {}
     rank = {"landmarks.csv": 1}
     for r in questions.collect():
@@ -102,8 +104,67 @@ def test_p1_multi_valued_fields_keep_every_true_value(spark, files):
     s = p1.survivors(spark.createDataFrame(rows, Q), files)
     values = {(r["qid"], r["value"]): r["is_true"] for r in s.values.where("field = 'answer_entity'").collect()}
     assert values["a0", "E0"] and values["a0", "F0"] and not values["a5", "X5"]
-    quality = {r["src"]: r["sensitivity"] for r in s.sources.where("field = 'answer_entity'").collect()}
-    assert quality["good"] > quality["bad"]
+    quality = {r["src"]: r for r in s.sources.where("field = 'answer_entity'").collect()}
+    assert quality["good"]["sensitivity"] > quality["bad"]["sensitivity"] and quality["bad"]["specificity"] < 0.7 < quality["good"]["specificity"]
+
+
+def test_p1_the_record_follows_the_sources_quality(spark, files):
+    """Three sources agree or not in 50 groups; the record of the 51st, where only two of them speak, is that of the better one, whichever it is."""
+    for good, bad in (("alpha", "omega"), ("omega", "alpha")):
+        rows = []
+        for i in range(50):
+            rows += [q_row(f"g{i}", 10 * i + 5, f"câu {i}?", entity=f"E{i}", source=good), q_row(f"h{i}", 10 * i + 6, f"câu {i}?", entity=f"E{i}", source="third"), q_row(f"b{i}", 10 * i, f"câu {i}?", entity=f"X{i}", source=bad)]
+        rows += [q_row("last-" + bad, 1000, "câu cuối?", entity="wrong", source=bad), q_row("last-" + good, 1001, "câu cuối?", entity="right", source=good)]
+        q = spark.createDataFrame(rows, Q)
+        free = p1.survivors(q, files)
+        assert "last-" + good in {r["qid"] for r in free.chosen.collect()}
+        assert {r["answer_entity"] for r in free.records.where("question = 'câu cuối?'").collect()} == {"right"}
+        assert "last-" + bad in {r["qid"] for r in p1.survivors(q, files, ranked=True).chosen.collect()}  # both rank 99: fact_id decides
+
+
+def test_p1_equals_brute_force_em(spark, files):
+    rng = random.Random(9)
+    rows = []
+    for g in range(40):
+        for k in range(rng.randint(2, 5)):
+            rows.append(q_row(f"q{g:02d}{k}", g * 10 + k, f"câu hỏi {g}?", entity=f"E{g}{rng.randint(0, 1)}", label=rng.choice(["L", "M", None]), source=rng.choice(["a", "b", "c", None]), tau=rng.choice([None, 5, 6])))
+    got = p1.survivors(spark.createDataFrame(rows, Q), files, iterations=4)
+    claims = {}
+    for r in rows:
+        for field, value in (("question", r[4]), ("tau_start", None if r[11] is None else str(r[11])), ("h", r[7]), ("answer_entity", r[5]), ("answer_label", r[6])):
+            if value:
+                claims.setdefault((r[4], field), {}).setdefault(value, set()).add(r[12] or "(none)")
+    sens, spec = {}, {}
+    for (_, field), values in claims.items():
+        for s in set().union(*values.values()):
+            sens[field, s], spec[field, s] = 0.8, 0.9
+
+    def posterior(field, pos, neg):
+        z = sum(np.log(sens[field, s] / (1 - spec[field, s])) for s in pos) + sum(np.log((1 - sens[field, s]) / spec[field, s]) for s in neg)
+        return 1 / (1 + np.exp(-z))
+
+    def facts():
+        for (g, field), values in claims.items():
+            there = set().union(*values.values())
+            for v, pos in values.items():
+                yield g, field, v, pos, there - pos, posterior(field, pos, there - pos)
+
+    for _ in range(4):
+        tp, t, tn, f = ({k: 0.0 for k in sens} for _ in range(4))
+        for _, field, _, pos, neg, p in facts():
+            for s in pos | neg:
+                tp[field, s] += p * (s in pos)
+                t[field, s] += p
+                tn[field, s] += (1 - p) * (s in neg)
+                f[field, s] += 1 - p
+        for k in sens:
+            spec[k] = (tn[k] + 9.5) / (f[k] + 10)
+            sens[k] = max((tp[k] + 8) / (t[k] + 10), 1.02 - spec[k])
+    for r in got.sources.collect():
+        assert abs(r["sensitivity"] - sens[r["field"], r["src"]]) < 2e-6 and abs(r["specificity"] - spec[r["field"], r["src"]]) < 2e-6
+    want = sorted((field, v, round(p, 5)) for _, field, v, _, _, p in facts())
+    have = sorted((r["field"], r["value"], r["posterior"]) for r in got.values.collect())
+    assert [x[:2] for x in want] == [x[:2] for x in have] and np.allclose([x[2] for x in want], [x[2] for x in have], atol=2e-5)
 
 
 # 2
