@@ -38,6 +38,7 @@ NAMES = {
     "deu": "de", "ger": "de", "german": "de", "deutsch": "de", "spa": "es", "spanish": "es", "español": "es", "espanol": "es", "castilian": "es", "por": "pt", "portuguese": "pt", "português": "pt", "portugues": "pt",
 }
 BUCKETS = 1 << 15
+BROADCAST_ROWS = 10_000
 SUFFIX_LANG = {"vn": "vi", "uk": "en", "us": "en", "au": "en", "fr": "fr", "de": "de", "at": "de", "es": "es", "mx": "es", "br": "pt", "pt": "pt"}
 
 _SENTENCE = re.compile(r"(?<=[.!?…。])[\s ]+|\n+")
@@ -174,16 +175,67 @@ _FUSED = "doc_id long, label string, declared string, lang string, confidence do
 
 
 def _fuse(batches: Iterator[pa.RecordBatch], temper: float, stay: float, sure: float, min_words: int) -> Iterator[pa.RecordBatch]:
-    """Fuses the evidence of each document (columns: doc_id, label, declared, host prior, label and suffix log-likelihoods, sentences) and then of its sentences."""
+    """Fuses the evidence of each document (columns: doc_id, label, declared, host prior, label and suffix log-likelihoods, sentences) and then of its sentences, all documents of a batch in one array pass."""
+    names = np.array(ALL, object)
+    k = len(ALL)
     for b in batches:
-        out: list[list] = [[] for _ in range(7)]
-        cols = [c.to_pylist() for c in b.columns[3:]]
-        for prior, label, suffix, start, end, ll, words, quoted, n in zip(*cols):
-            row = _fuse_document(np.array(prior), np.array(label) + np.array(suffix), start, end, np.array(ll, np.float64).reshape(-1, len(ALL)) * temper, np.array(words), np.array(quoted, bool), n, stay, sure, min_words)
-            for o, v in zip(out, row):
-                o.append(v)
-        types = [pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.float64())]
-        yield pa.RecordBatch.from_arrays([*b.columns[:3], *[pa.array(o, t) for o, t in zip(out, types)]], names=["doc_id", "label", "declared", "lang", "confidence", "langs", "seg_start", "seg_end", "seg_lang", "seg_conf"])
+        n = b.num_rows
+        matrix = lambda c: np.asarray(b.column(c).flatten(), np.float64).reshape(n, k)  # noqa: B023, E731
+        prior, meta = matrix(3), matrix(4) + matrix(5)
+        size = np.diff(np.asarray(b.column(6).offsets))
+        flat = lambda c: np.asarray(b.column(c).flatten().to_numpy(zero_copy_only=False))  # noqa: B023, E731
+        start, end, words, quoted = flat(6), flat(7), flat(9), flat(10).astype(bool)
+        ll = flat(8).astype(np.float64).reshape(-1, k) * temper
+        has = b.column(11).to_numpy() > 0
+        doc = np.repeat(np.arange(n), size)
+        total = np.zeros((n, k))
+        np.add.at(total, doc, ll)
+        post = _softmax(total + prior + meta)
+        main = post.argmax(1)
+        # a sentence is in the document's language, or in another one by the host prior
+        own = np.arange(k) == main[:, None]
+        context = np.log(np.where(own, stay, (1 - stay) * _softmax(np.where(own, -np.inf, prior))))
+        p = _softmax(ll + context[doc])
+        short = words < min_words
+        lang = np.where((p[np.arange(len(doc)), main[doc]] < 1 - sure) & ~quoted & ~short, p.argmax(1), main[doc])
+        weight = np.zeros((n, k))
+        np.add.at(weight, (doc, lang), words)
+        # every sentence is in another language than all of them together: the largest share counts
+        lost = (weight[np.arange(n), main] == 0) & (weight.sum(1) > 0)
+        if lost.any():
+            main = np.where(lost, weight.argmax(1), main)
+            part = np.zeros((n, k))
+            mine = lang == main[doc]
+            np.add.at(part, doc[mine], ll[mine])
+            post = np.where(lost[:, None], _softmax(part + prior + meta), post)
+        # a few words follow the sentence before them, at the start the one behind
+        at = np.arange(len(doc))
+        first = np.cumsum(size) - size
+        before = np.maximum.accumulate(np.where(short, -1, at)) if len(at) else at
+        behind = np.minimum.accumulate(np.where(short, len(at), at)[::-1])[::-1] if len(at) else at
+        there, then = before >= first[doc], behind < (first + size)[doc]
+        follow = np.where(there, before, np.where(then, behind, at))
+        lang = np.where(short, lang[follow], lang)
+        kinds: list[list[str]] = [[ALL[m]] if h else [] for m, h in zip(main, has)]
+        mixed = np.unique(doc[(lang != main[doc]) & ~short & ~quoted])
+        for d in mixed:  # few documents
+            rows = slice(first[d], first[d] + size[d])
+            kinds[d] = [ALL[x] for x in dict.fromkeys(lang[rows][~short[rows] & ~quoted[rows]].tolist())]
+        edge = np.flatnonzero((np.diff(lang, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
+        edge = edge[has[doc[edge]]]
+        close = np.append(edge[1:], len(doc))
+        close = np.minimum(close, (first + size)[doc[edge]])
+        seg_doc, seg_lang = doc[edge], lang[edge]
+        away = np.log(np.where(np.arange(k) == main[seg_doc, None], stay, (1 - stay) / (k - 1)))
+        sums = np.zeros((len(edge), k))
+        np.add.at(sums, np.repeat(np.arange(len(edge)), close - edge), ll[has[doc]] if len(edge) else ll[:0])
+        conf = np.round(_softmax(sums + away)[np.arange(len(edge)), seg_lang], 6) if len(edge) else np.empty(0)
+        off = pa.array(np.append(0, np.cumsum(np.bincount(seg_doc, minlength=n))), pa.int32())
+        lists = lambda v, t: pa.ListArray.from_arrays(off, pa.array(v, t))  # noqa: B023, E731
+        kind_off = pa.array(np.append(0, np.cumsum([len(x) for x in kinds])), pa.int32())
+        out = [pa.array(np.where(has, names[main], None), pa.string()), pa.array(np.where(has, np.round(post[np.arange(n), main], 6), 0.0)), pa.ListArray.from_arrays(kind_off, pa.array([y for x in kinds for y in x], pa.string()))]
+        out += [lists(start[edge], pa.int32()), lists(end[close - 1], pa.int32()), lists(names[seg_lang], pa.string()), lists(conf, pa.float64())]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], *out], names=["doc_id", "label", "declared", "lang", "confidence", "langs", "seg_start", "seg_end", "seg_lang", "seg_conf"])
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -191,39 +243,6 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def _fuse_document(prior, meta, start, end, ll, words, quoted, n, stay, sure, min_words):
-    if not n:
-        return None, 0.0, [], [], [], [], []
-    post = _softmax(ll.sum(0) + prior + meta)
-    main = int(post.argmax())
-    # a sentence is in the document's language, or in another one by the host prior
-    rest = _softmax(np.where(np.arange(len(ALL)) == main, -np.inf, prior))
-    sentence = ll + np.log(np.where(np.arange(len(ALL)) == main, stay, (1 - stay) * rest))
-    p = _softmax(sentence)
-    lang = np.where(p[:, main] < 1 - sure, p.argmax(1), main)
-    lang[quoted | (words < min_words)] = main
-    if (lang != main).any():
-        weight = np.bincount(lang, weights=words, minlength=len(ALL))
-        if weight[main] == 0:  # every sentence is in another language than all of them together: the largest share counts
-            main = int(weight.argmax())
-            post = _softmax(ll[lang == main].sum(0) + prior + meta)
-        short = words < min_words
-        near = np.where(short, -1, np.arange(len(lang)))
-        before = np.maximum.accumulate(near)
-        at = np.where(before >= 0, before, np.argmax(~short) if (~short).any() else 0)
-        lang = np.where(short, lang[at], lang)  # a few words follow the sentence before them
-    kinds = [k for k in dict.fromkeys(lang[(words >= min_words) & ~quoted].tolist())] or [main]
-    edge = np.flatnonzero(np.diff(lang, prepend=-1))
-    s, e, sl, sc = [], [], [], []
-    for a, z in zip(edge, [*edge[1:], len(lang)]):
-        k = int(lang[a])
-        s.append(start[a])
-        e.append(end[z - 1])
-        sl.append(ALL[k])
-        sc.append(round(float(_softmax(ll[a:z].sum(0) + np.log(np.where(np.arange(len(ALL)) == main, stay, (1 - stay) / (len(ALL) - 1))))[k]), 6))
-    return ALL[main], round(float(post[main]), 6), [ALL[k] for k in kinds], s, e, sl, sc
-
-
 def fused(docs: DataFrame, temper: float = 0.2, strength: float = 20.0, stay: float = 0.97, sure: float = 0.9, min_words: int = 4, suffix_col: str | None = None) -> DataFrame:
     """One row per document: declared label, language, confidence, languages found and segments.
 
@@ -258,7 +277,8 @@ def fused(docs: DataFrame, temper: float = 0.2, strength: float = 20.0, stay: fl
         label_ll = F.when(F.col("declared").eqNullSafe(F.lit(x)), F.array(*[F.lit(float(v)) for v in given[:, i]])).otherwise(label_ll)
     tld = F.array(*[F.when(F.col("suffix").isNull(), 0.0).when(F.col("suffix") == x, float(np.log(0.7))).otherwise(float(np.log(0.05))) for x in ALL])
     flat = F.array(*[F.lit(float(np.log(overall[x]))) for x in LANGS], rare)
-    joined = base.join(prior, ["host", "fmt"], "left")
+    prior = cut(prior)  # a row of seven numbers per source and format: broadcast while that is under a megabyte, else joined by a shuffle
+    joined = base.join(F.broadcast(prior) if prior.count() <= BROADCAST_ROWS else prior, ["host", "fmt"], "left")
     ready = joined.select("doc_id", "label", "declared", F.coalesce("host_prior", flat).alias("prior"), label_ll.alias("label_ll"), tld.alias("tld"), "s_start", "s_end", "s_ll", "s_words", "s_quoted", "n_grams")
     return ready.mapInArrow(lambda batches: _fuse(batches, temper, stay, sure, min_words), _FUSED)
 
