@@ -36,12 +36,14 @@ def components(questions: DataFrame, max_rounds: int = 60) -> DataFrame:
         if hooks.isEmpty():
             break
         # shortcut the hook chains among the hooked roots, then apply them to every node
-        while True:
+        for _ in range(max_rounds):
             up = hooks.alias("a").join(hooks.alias("b"), F.col("a.m") == F.col("b.p"), "left").select(F.col("a.p").alias("p"), F.coalesce("b.m", "a.m").alias("m"), F.col("b.m").isNotNull().alias("moved"))
             up = cut(up)
             hooks = up.select("p", "m")
             if up.where("moved").isEmpty():
                 break
+        else:
+            raise RuntimeError(f"hooks did not settle in {max_rounds} rounds")
         parent = cut(parent.join(hooks, "p", "left").select("v", F.coalesce("m", "p").alias("p")))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
@@ -54,11 +56,15 @@ def found(questions: DataFrame) -> DataFrame:
     return components(questions).where("qid <> group_qid").select("group_qid", "qid")
 
 
-def plan_counts(histogram: dict[int, int], total: int, shares: tuple[float, ...]) -> list[dict[int, int]]:
+#: Gaps up to this many records are filled exactly; the bitsets of a gap take 2 x gap bits each.
+EXACT_GAP = 1 << 20
+
+
+def plan_counts(histogram: dict[int, int], total: int, shares: tuple[float, ...], exact_gap: int = EXACT_GAP) -> list[dict[int, int]]:
     """For each share, how many components of each size to take so that its total comes closest to share x total.
 
-    A proportional floor of every size class comes first; the remainder, smaller than the sum of the sizes, is filled
-    exactly by a subset-sum bitset over what is left (multiplicities by binary splitting).
+    A proportional floor of every size class comes first. A gap over `exact_gap` records, which only components of nearly that size leave, is brought under it by taking the largest
+    components that fit; what is left is filled by a subset-sum bitset over the remaining size multiplicities (binary splitting), exactly where the whole gap is at most `exact_gap`.
     """
     left = dict(histogram)
     plans = []
@@ -66,7 +72,17 @@ def plan_counts(histogram: dict[int, int], total: int, shares: tuple[float, ...]
         want = round(share * total)
         take = {s: min(left[s], int(share * histogram[s])) for s in histogram}
         gap = want - sum(s * c for s, c in take.items())
-        if gap > 0:
+        for s in sorted(left, reverse=True):
+            if gap <= exact_gap:
+                break
+            k = min(left[s] - take[s], max(0, gap // s))
+            take[s] += k
+            gap -= k * s
+        if gap > exact_gap:  # all that fit are taken: one that does not fit comes closer, or none does
+            over = [s for s in left if left[s] > take[s] and gap < s < 2 * gap]
+            if over:
+                take[min(over)] += 1
+        elif gap > 0:
             pieces = []  # (size x multiple, size, multiple)
             for s in sorted(left):
                 free, k = min(left[s] - take[s], gap // s + 1), 1
@@ -74,22 +90,37 @@ def plan_counts(histogram: dict[int, int], total: int, shares: tuple[float, ...]
                     m = min(k, free)
                     pieces.append((s * m, s, m))
                     free, k = free - m, k * 2
-            limit = (1 << (2 * gap + 1)) - 1
-            reach = [1]
-            for v, _, _ in pieces:
-                reach.append((reach[-1] | (reach[-1] << v)) & limit)
-            best = next((d for e in range(gap + 1) for d in (gap - e, gap + e) if reach[-1] >> d & 1), 0)
-            for i in range(len(pieces) - 1, -1, -1):
-                if not reach[i] >> best & 1:
-                    v, s, m = pieces[i]
-                    take[s] += m
-                    best -= v
+            for s, m in _fill([p for p in pieces if p[0] <= 2 * gap], gap):
+                take[s] += m
         for s in take:
             left[s] -= take[s]
         plans.append(take)
     return plans
 
 
+def _fill(pieces: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int]]:
+    """Pieces (value, size, multiple) whose values sum up closest to gap. Bitsets of the sums of the first i pieces are kept for every square-rootth i only; the others are made again on the way back."""
+    limit = (1 << (2 * gap + 1)) - 1
+    step = max(1, int(len(pieces) ** 0.5))
+    kept, reach = [1], 1
+    for i, (v, _, _) in enumerate(pieces, 1):
+        reach = (reach | (reach << v)) & limit
+        if i % step == 0:
+            kept.append(reach)
+    best = next((d for e in range(gap + 1) for d in (gap - e, gap + e) if reach >> d & 1), 0)
+    out = []
+    for block in range((len(pieces) + step - 1) // step - 1, -1, -1):
+        first, part = block * step, [kept[block]]
+        for v, _, _ in pieces[first : first + step]:
+            part.append((part[-1] | (part[-1] << v)) & limit)
+        for i in range(min(first + step, len(pieces)) - 1, first - 1, -1):
+            if not part[i - first] >> best & 1:
+                v, s, m = pieces[i]
+                out.append((s, m))
+                best -= v
+    return out
+
+
 def assign(questions: DataFrame, shares: dict[str, float] | None = None, seed: int = 42) -> DataFrame:
     """(qid, group_qid, group_size, split): every qid, train = what the named shares leave. Order inside a size class is md5(seed, group)."""
     shares = shares or {"test": 0.1, "val": 0.1}
