@@ -304,9 +304,19 @@ def found(questions: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def report(questions: DataFrame, members: DataFrame) -> DataFrame:
-    """Overlap per evaluation split and source: pairs, evaluation records hit, share of the records of that split and source."""
-    o = overlaps(questions, members)
-    hit = o.groupBy(F.col("split"), F.col("eval_source").alias("source")).agg(F.count("*").alias("n_pairs"), F.countDistinct("eval_qid").alias("n_eval_hit"), F.round(F.avg("coverage"), 6).alias("mean_coverage"))
+    """Overlap per evaluation split and source: pairs, evaluation records hit, share of the records of that split and source.
+
+    Counted over classes of equal texts: a class of k evaluation and m training records counts k x m pairs, which are never built.
+    """
+    rows = cut(membership(questions, members))
+    pairs = class_pairs(rows.select("qid", "entity", "core", "cid", "is_eval"))
+    train = rows.where("not is_eval").select(F.col("cid").alias("train_cid"), "qid").distinct()
+    size = train.groupBy("train_cid").agg(F.count("*").alias("m"))
+    per_class = pairs.join(size, "train_cid").groupBy(F.col("eval_cid").alias("cid")).agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("coverage")).alias("c"))
+    ev = rows.where("is_eval").select("qid", "cid", "split", "source").distinct()
+    both = ev.join(train.withColumnRenamed("train_cid", "cid"), ["cid", "qid"], "left_semi").select("qid", "cid", F.lit(1).alias("self")).distinct()  # in train and here: no pair with itself
+    each = ev.join(per_class, "cid").join(both, ["qid", "cid"], "left").select("split", "source", "qid", (F.col("m") - F.coalesce("self", F.lit(0))).alias("m"), (F.col("c") - F.coalesce("self", F.lit(0))).alias("c"))
+    hit = each.where("m > 0").groupBy("split", "source").agg(F.sum("m").alias("n_pairs"), F.count_distinct("qid").alias("n_eval_hit"), F.round(F.sum("c") / F.sum("m"), 6).alias("mean_coverage"))
     side = members.select("qid", split_name(F.col("split")).alias("split")).where("split in ('val', 'test')").distinct()
     n = questions.select("qid", F.coalesce(source_key(F.col("source")), F.lit("(none)")).alias("source")).join(side, "qid").groupBy("split", "source").agg(F.count("*").alias("n_eval"))
     return n.join(hit, ["split", "source"], "left").na.fill(0, ["n_pairs", "n_eval_hit"]).withColumn("share_hit", F.round(F.col("n_eval_hit") / F.col("n_eval"), 6))
