@@ -68,6 +68,8 @@ _CLUSTER = re.compile(rf"\S[{_MARK}]+|[^\x00-\x7f]|[\t\n\r\x0b\x0c]")
 _INVISIBLE = "\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufeff\u180e\u061c\ufe00-\ufe0f"
 _WORD = re.compile(rf"[^\W\d_][{_MARK}{_INVISIBLE}]*(?:[^\W\d_][{_MARK}{_INVISIBLE}]*)*")
 _LATIN: dict[str, bool] = {}
+#: Other widths of digits and signs.
+_DIGITS = {k: v for k, v in _width_table().items() if not v.isalpha()}
 
 
 def _is_latin(ch: str) -> bool:
@@ -79,6 +81,12 @@ def _is_latin(ch: str) -> bool:
 _WIDE_LETTERS = {k for k, v in _width_table().items() if v.isalpha()}
 
 
+def other_script(label: str | None) -> bool:
+    """Whether a label is wholly in another script: it has letters, none of them Latin, and not all of them Latin twins."""
+    base = [c for c in unicodedata.normalize("NFD", label or "") if c.isalpha()]
+    return bool(base) and not any(map(_is_latin, base)) and not all(c in TWINS for c in base)
+
+
 def canonical(label: str | None) -> tuple[str | None, bool]:
     """Consistent form of a label, and whether it held characters other than those it appears to be written in."""
     if label is None:
@@ -88,8 +96,10 @@ def canonical(label: str | None) -> tuple[str | None, bool]:
     base = [c for c in unicodedata.normalize("NFD", label) if c.isalpha()]
     latin = any(_is_latin(c) for c in base)
     mappable = all(_is_latin(c) or c in TWINS for c in base)
-    if base and not latin and not mappable:  # wholly in another script
-        return re.sub(r"\s+", " ", "".join(c for c in unicodedata.normalize("NFC", label) if unicodedata.category(c) != "Cf")).strip(), False
+    if base and not latin and not mappable:  # wholly in another script: its letters stay, all else has one form
+        form = unicodedata.normalize("NFC", "".join(_DIGITS.get(c, c) for c in label if unicodedata.category(c) != "Cf"))
+        form = re.sub(r"\s+", " ", form).strip()
+        return form, form != re.sub(" +", " ", label).strip()
     blocked: list[tuple[int, int]] = []
     if not mappable:
         for m in _WORD.finditer(label):
@@ -141,11 +151,11 @@ def labels_long(events: DataFrame, samples: DataFrame) -> DataFrame:
     return a.unionByName(samples.select(F.lit("showcase_samples").alias("tbl"), F.col("qid").alias("rec_key"), F.lit("answer").alias("field"), F.col("answer").alias("text")))
 
 
-_SCHEMA = "tbl string, rec_key string, field string, text string, canonical string, changed boolean, damaged boolean"
+_SCHEMA = "tbl string, rec_key string, field string, text string, canonical string, changed boolean, damaged boolean, other_script boolean"
 
 
 def normalised(long: DataFrame) -> DataFrame:
-    """Every label with its consistent form; changed: it held other characters (false for damaged labels)."""
+    """Every label with its consistent form; changed: it held other characters (false for damaged labels); other_script: changed, and wholly in another script."""
     counts = bigram_counts(long)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,13 +172,14 @@ def normalised(long: DataFrame) -> DataFrame:
                         bad = bool(model.spans(text))
                     if len(seen) > 100_000:
                         seen.clear()
-                    seen[text] = (text, False, True) if bad else (form, changed, False)
+                    seen[text] = (text, False, True, False) if bad else (form, changed, False, changed and other_script(text))
                 rows.append(seen[text])
-            cols = list(zip(*rows)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cols[0], pa.string()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.bool_())], names=["tbl", "rec_key", "field", "text", "canonical", "changed", "damaged"])
+            cols = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cols[0], pa.string()), *[pa.array(c, pa.bool_()) for c in cols[1:]]], names=["tbl", "rec_key", "field", "text", "canonical", "changed", "damaged", "other_script"])
 
     return long.mapInArrow(run, _SCHEMA)
 
 
 def found(events: DataFrame, samples: DataFrame) -> DataFrame:
-    return normalised(labels_long(events, samples)).where("changed").select("tbl", "rec_key", "field")
+    """Changed labels, those wholly in another script left out."""
+    return normalised(labels_long(events, samples)).where("changed and not other_script").select("tbl", "rec_key", "field")
