@@ -8,7 +8,7 @@ is the training order. Tilts sum to zero over the shares, so the batch size is t
 
 The budget is the largest at which every source that has documents can give its share without repeating any document more
 than max_repeats times; sources without documents, and those not listed, give nothing, and the shares of the rest are scaled to 1. A document longer than all its source may
-give is left out. The last document of a source is used when its middle lies within the demand, so a share is off by at most half a document.
+give cannot be part of any such mixture: it does not count as what the source has. The last document of a source is used when its middle lies within the demand, so a share is off by at most half a document.
 
 Token counts come from a public tokenizer (a rank file, whose path is a parameter) over whole texts. Source names are compared in
 lower case without outer spaces, with - and spaces as _.
@@ -39,19 +39,30 @@ def source_name(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(c)), r"[\s-]+", "_")
 
 
+_ENCODINGS: dict[str, object] = {}
+
+
+def _encoding(name: str, data: bytes):
+    """Tokenizer of a rank file, made once per worker process."""
+    if name not in _ENCODINGS:
+        import tiktoken
+
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
+        _ENCODINGS[name] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
+    return _ENCODINGS[name]
+
+
 def token_counts(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     """(doc_id, source, draw, n_tokens): tokens of the whole text; draw is a hash of the document for its place in the stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        with open(ranks, "rb") as f:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        enc = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
+        enc = _encoding(ranks, shared.value)
         for b in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64())], names=["doc_id", "source", "draw", "n_tokens"])
 
+    with open(ranks, "rb") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())  # the vocabulary file, about a megabyte
     base = docs.select("doc_id", source_name(F.col("source")).alias("source"), F.md5(F.concat_ws("|", F.lit("mix"), F.col("doc_id").cast("string"), "text")).alias("draw"), "text")
     return base.mapInArrow(run, "doc_id long, source string, draw string, n_tokens long")
 
@@ -71,7 +82,7 @@ def plan(docs: DataFrame, targets: DataFrame, tilt: float = 0.6, ranks: str = RA
     want = {r["source"]: r for r in targets.groupBy(source_name(F.col("source")).alias("source")).agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap")).where("source is not null").collect()}
     counted = token_counts(docs, ranks).where("n_tokens > 0")
     counted = cut(counted.where(F.col("source").isin(list(want))) if want else counted.limit(0))
-    # a document longer than its source's whole demand cannot be part of the mixture; leaving it out lowers what the source has, hence the loop
+    # a document longer than its source's whole demand cannot be part of the mixture; leaving it out lowers what the source has, hence the loop (over the counts only, the texts are read once)
     limit: dict[str, float] = {}
     while True:
         fits = F.lit(True)

@@ -332,7 +332,17 @@ def test_p3_empty_and_report(spark, overlap_case):
     q, m = overlap_case
     assert p3.found(empty(q), m).count() == 0 == p3.found(q, empty(m)).count()
     r = p3.report(q, m).collect()
-    assert sum(x["n_pairs"] for x in r) == p3.overlaps(q, m).count()
+    pairs = p3.overlaps(q, m).collect()
+    assert sum(x["n_pairs"] for x in r) == len(pairs)
+    assert {(x["split"], x["source"]): (x["n_pairs"], x["n_eval_hit"]) for x in r if x["n_pairs"]} == {k: (sum(1 for p in pairs if (p["split"], p["eval_source"]) == k), len({p["eval_qid"] for p in pairs if (p["split"], p["eval_source"]) == k})) for k in {(p["split"], p["eval_source"]) for p in pairs}}
+
+
+def test_p3_report_of_a_record_on_both_sides(spark):
+    """A question in train and in test makes no pair with itself, but with its copies on the other side."""
+    q = spark.createDataFrame([q_row(f"q{i}", i, "Siếc Ngợp Phĩa Tránh nằm ở tỉnh nào?") for i in range(3)], Q)
+    m = spark.createDataFrame([("q0", "train"), ("q0", "test"), ("q1", "train"), ("q2", "test")], "qid string, split string")
+    r = p3.report(q, m).collect()
+    assert [(x["n_pairs"], x["n_eval_hit"], x["n_eval"], x["mean_coverage"]) for x in r] == [(3, 2, 2, 1.0)] and p3.overlaps(q, m).count() == 3
 
 
 # 4
@@ -437,7 +447,30 @@ def test_p5_subset_sum_is_closest():
         assert abs(sum(s * c for s, c in take.items()) - want) == min(abs(x - want) for x in reach) and all(take[s] <= hist[s] for s in hist)
 
 
+def test_p5_hot_component_needs_little_memory():
+    """Components of ten million rows and more: the totals are met and the bitsets stay small."""
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for big in (10**6, 10**7, 10**9):
+        hist = {1: 3 * big, 2: big // 4, 3: 1000, 7: 13, big: 1} | {s: 5 for s in range(10, 200)}
+        total = sum(s * c for s, c in hist.items())
+        plans = p5.plan_counts(hist, total, (0.1, 0.1))
+        assert all(sum(s * c for s, c in p.items()) == round(0.1 * total) for p in plans)
+        assert all(sum(p[s] for p in plans) <= hist[s] for s in hist)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
+    assert p5.plan_counts({10**7: 3, 5 * 10**6: 2}, 4 * 10**7, (0.1,)) == [{10**7: 0, 5 * 10**6: 1}]  # nothing fits: one too large comes closer than none
+
+
 # 6
+def test_p6_other_scripts_are_changed_but_no_cases(spark):
+    assert p6.canonical("Осада\u200b речной") == ("Осада речной", True) and p6.canonical("古渡口１２") == ("古渡口12", True)
+    ev = spark.createDataFrame([(1, "Осада\u200b речной", "古渡口１２"), (2, "Осада речной", "Siếc\u200b")], "row_id long, h_label string, t_label string")
+    sa = spark.createDataFrame([], "qid string, answer string")
+    assert {tuple(r) for r in p6.found(ev, sa).collect()} == {("historical_events", "2", "t_label")}
+    assert {(r["rec_key"], r["field"]): (r["changed"], r["other_script"]) for r in p6.normalised(p6.labels_long(ev, sa)).collect()} == {("1", "h_label"): (True, True), ("1", "t_label"): (True, True), ("2", "h_label"): (False, False), ("2", "t_label"): (True, False)}
+
+
 @pytest.mark.parametrize(
     ("text", "form", "changed"),
     [("Ｓｉếｃ Ｎｇợｐ（１６）", "Siếc Ngợp(16)", True), ("Сhіến Тrước", "Chiến Trước", True), ("Nguật Τrước", "Nguật Trước", True), ("Siếc​ Ngợp", "Siếc Ngợp", True), (unicodedata.normalize("NFD", "Siếc Ngợp"), "Siếc Ngợp", True), ("Ðừng Ɖạt", "Đừng Đạt", True), ("Си́", "Си́", False),
@@ -569,6 +602,16 @@ def test_p8_shares_and_repeats(spark, docs):
     assert p8.mixture(empty(docs), targets).count() == 0 == p8.mixture(docs, empty(targets)).count()
 
 
+def test_p8_a_document_longer_than_the_demand(spark):
+    """One text is longer than all its source may give: the others are repeated in its place and the shares hold."""
+    rows = [(i, "năm ba bảy " * 5, "a") for i in range(20)] + [(100, "một hai " * 5000, "b")] + [(200 + i, "năm ba bảy " * 5, "b") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    used = [r["doc_id"] for r in p8.mixture(docs, targets).collect()]
+    assert 100 not in used and sorted(set(used)) == [*range(20), *range(200, 210)] and all(used.count(i) == 2 for i in range(200, 210))
+    assert {r["source"]: r["actual_share"] for r in p8.shares(docs, targets).collect()} == {"a": 0.5, "b": 0.5}
+
+
 def test_p8_positions_follow_the_schedule(spark, docs):
     targets = spark.createDataFrame([("crawl", 0.5, 1), ("portal", 0.5, 2)], "source string, target_share double, max_repeats int")
     counted, rows = p8.plan(docs, targets)
