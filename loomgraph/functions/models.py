@@ -25,6 +25,17 @@ def attention(z: np.ndarray, keys: np.ndarray, values: np.ndarray, wq: np.ndarra
     return np.einsum("ht,thd->hd", w, v[:, group]).reshape(-1) @ wo
 
 
+def attention_rows(z: np.ndarray, tokens: np.ndarray, wq: np.ndarray, wo: np.ndarray, heads: int, kv_heads: int) -> np.ndarray:
+    """The same for many rows with the same number of tokens: z rows x h, tokens rows x tokens x (kv_heads x d)."""
+    d = wq.shape[1] // heads
+    check_heads(wq.shape[1], heads, kv_heads, d)
+    q = (z @ wq).reshape(len(z), kv_heads, heads // kv_heads, d)
+    k = tokens.reshape(len(z), -1, kv_heads, d)
+    s = np.einsum("ngad,ntgd->ngat", q, k, optimize=True) / np.sqrt(d)
+    e = np.exp(s - s.max(-1, keepdims=True))
+    return np.einsum("ngat,ntgd->ngad", e / e.sum(-1, keepdims=True), k, optimize=True).reshape(len(z), -1) @ wo
+
+
 def start_matrix(rows: int, cols: int, salt: int) -> np.ndarray:
     """Deterministic parameters in [-1, 1] by integer arithmetic."""
     i, j = np.meshgrid(np.arange(rows), np.arange(cols), indexing="ij")
@@ -49,10 +60,21 @@ def mlp_col(vec: Column, w1: np.ndarray, b1: np.ndarray, w2: np.ndarray, b2: flo
 
 
 def attention_col(query: Column, tokens: Column, wq: np.ndarray, wo: np.ndarray, heads: int, kv_heads: int) -> Column:
-    """tokens: array of vectors that serve as keys and values."""
+    """tokens: array of vectors that serve as keys and values; no tokens give zeros."""
 
     def run(z: pa.Array, t: pa.Array) -> pa.Array:
-        return pa.array([attention(np.array(a, np.float64), k := np.array(b, np.float64), k, wq, wo, heads, kv_heads).tolist() for a, b in zip(z.to_pylist(), t.to_pylist())], pa.list_(pa.float64()))
+        if not len(z):
+            return pa.array([], pa.list_(pa.float64()))
+        q = np.asarray(z.flatten(), np.float64).reshape(len(z), -1)
+        counts = np.diff(np.asarray(t.offsets))
+        flat = np.asarray(t.flatten().flatten(), np.float64).reshape(int(counts.sum()), -1)
+        first = np.cumsum(counts) - counts
+        out = np.zeros((len(z), wo.shape[1]))
+        for n in np.unique(counts):  # rows with the same number of tokens go together
+            at = np.flatnonzero(counts == n)
+            if n:
+                out[at] = attention_rows(q[at], flat[first[at, None] + np.arange(n)], wq, wo, heads, kv_heads)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1) * wo.shape[1], pa.int32()), pa.array(out.ravel()))
 
     run.__annotations__ = {"z": pa.Array, "t": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, "array<double>")(query, tokens)

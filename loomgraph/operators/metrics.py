@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomgraph.operators.ranking import running_position
+from loomgraph.session import cut
+
 
 def hits(ranks: DataFrame, rank: str = "rank", *by: str) -> DataFrame:
     """Hit@1, 3, 10 and MRR rounded to 4 places, 0 on empty input."""
@@ -16,8 +21,20 @@ def hits(ranks: DataFrame, rank: str = "rank", *by: str) -> DataFrame:
 
 
 def latency(df: DataFrame, col: str) -> DataFrame:
-    """Mean, median and 95th percentile by linear interpolation; null on empty input."""
-    return df.agg(F.round(F.avg(col), 6).alias("mean"), F.round(F.percentile(col, F.lit(0.5)), 6).alias("p50"), F.round(F.percentile(col, F.lit(0.95)), 6).alias("p95"))
+    """Mean, median and 95th percentile by linear interpolation between ranks; null on empty input, nulls do not count.
+
+    Ranks come from a range partition, so no task holds all values.
+    """
+    v = df.where(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("v"))
+    ranked = cut(running_position(v, [], ["v"]))
+    n = ranked.count()
+
+    def at(share: float) -> Column:
+        where, rest = divmod(share * (n - 1), 1)
+        low, high = (F.max(F.when(F.col("rn") == int(where) + k, F.col("v"))) for k in (1, 2))
+        return low if not rest else low + (high - low) * rest
+
+    return ranked.agg(F.round(F.avg("v"), 6).alias("mean"), F.round(at(0.5), 6).alias("p50"), F.round(at(0.95), 6).alias("p95"))
 
 
 def kappa(df: DataFrame, a: Column, b: Column) -> DataFrame:
@@ -36,18 +53,23 @@ def best_by(df: DataFrame, group: list[str], score: str, *ties: str) -> DataFram
     return best.where("b is not null").select(*group, *[F.col(f"b.{c}").alias(c) for c in rest])
 
 
+#: Poisson(1): 2^48 times the probability of at most k, for k = 0, 1, ...
+POISSON = tuple(int(2**48 * math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1))) for k in range(16))
+
+
 def bootstrap(ranks: DataFrame, n_boot: int = 1000, seed: int = 0, centered: bool = False) -> DataFrame:
     """Share of resamples whose difference in mean reciprocal rank is at least the observed one in size.
 
-    ranks: i (0..n-1), rank_a, rank_b. Draws are integers of md5(seed|replicate|position), the same in every engine. centered subtracts the observed difference from each
+    ranks: i (a key), rank_a, rank_b. Every row has in every resample a Poisson(1) weight, drawn by md5(seed|resample|key) and so the same in every engine; resample means are sums of
+    weighted differences over sums of weights. Rows meet no other rows: one pass with a map-side aggregate of n_boot sums. centered subtracts the observed difference from each
     resample, which makes it a test; without, p stays near 0.5 for any large effect.
     """
-    n = ranks.count()
     diff = ranks.select("i", (1.0 / F.col("rank_a") - 1.0 / F.col("rank_b")).alias("d"))
     obs = diff.agg(F.avg("d").alias("obs"))
-    reps = ranks.sparkSession.range(n_boot).withColumnRenamed("id", "rep").select("rep", F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))).alias("pos"))
-    draw = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("pos").cast("string"))), 1, 12), 16, 10).cast("long"), F.lit(max(n, 1)))
-    per = reps.select("rep", draw.alias("i")).join(diff, "i").groupBy("rep").agg(F.avg("d").alias("m"))
+    reps = diff.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("i").cast("string"))), 1, 12), 16, 10).cast("long")
+    weighted = reps.withColumn("u", draw).withColumn("w", sum((F.col("u") >= t).cast("int") for t in POISSON))
+    per = weighted.groupBy("rep").agg((F.sum(F.col("w") * F.col("d")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
     x = per.join(F.broadcast(obs), how="inner")  # one row
     base = F.col("obs") if centered else F.lit(0.0)
     return x.agg(F.round(F.max("obs"), 6).alias("observed"), F.round(F.avg((F.round(F.abs(F.col("m") - base), 9) >= F.round(F.abs("obs"), 9)).cast("double")), 6).alias("p"))

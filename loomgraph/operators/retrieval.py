@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import vectors as V
 from loomgraph.schemas import BINS_T, BINS_X, BINS_Y, DEFAULT_LAT, DEFAULT_LON, DEFAULT_TAU, LAT_MAX, LAT_MIN, LON_MAX, LON_MIN, RELATIONS, TAU_MAX, TAU_MIN
+from loomgraph.session import cut
 
 
 def quantise(v: Column, lo: float, hi: float, bins: int) -> Column:
@@ -84,6 +85,7 @@ def with_stats(df: DataFrame, by: list[str], **aggs: Column) -> DataFrame:
 
 def relevance(scored: DataFrame, alpha: float, by: list[str], cos: str = "cos", s: str = "s") -> DataFrame:
     """rel = alpha cos - (1 - alpha) (s - min) / max(max - min, 1e-12), per candidate set."""
+    scored = cut(scored)  # the candidate set is used twice
     j = with_stats(scored, by, __lo=F.min(s), __hi=F.max(s))
     scaled = (F.col(s) - F.col("__lo")) / F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1e-12))
     return j.withColumn("rel", alpha * F.col(cos) - (1 - alpha) * scaled).drop("__lo", "__hi")
@@ -97,9 +99,11 @@ def top_k(df: DataFrame, by: list[str], score: str, tie: str, k: int) -> DataFra
 
 def softmax(df: DataFrame, x: str, by: list[str], out: str) -> DataFrame:
     """Adds the softmax of x within each group."""
-    j = with_stats(df, by, __m=F.max(x)).withColumn("__e", F.exp(F.col(x) - F.col("__m")))
-    j = with_stats(j, by, __z=F.sum("__e"))
-    return j.withColumn(out, F.col("__e") / F.col("__z")).drop("__m", "__e", "__z")
+    df = cut(df)  # the candidate set is used twice
+    top = df.groupBy(*[F.col(c).alias(f"__k_{c}") for c in by]).agg(F.max(x).alias("__m"))
+    on = [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in by]
+    z = df.join(top, on).groupBy(*[f"__k_{c}" for c in by]).agg(F.first("__m").alias("__m"), F.sum(F.exp(F.col(x) - F.col("__m"))).alias("__z"))
+    return df.join(z, on).withColumn(out, F.exp(F.col(x) - F.col("__m")) / F.col("__z")).drop("__m", "__z", *[f"__k_{c}" for c in by])
 
 
 def target_rank(scores: DataFrame, by: list[str], score: str, entity: str, target: str) -> DataFrame:
@@ -132,36 +136,28 @@ def against_all(rows: DataFrame, queries: DataFrame, key: str, block: int = 512)
     return r.join(q, ["__b", "__s"]).drop("__b", "__s")
 
 
-def score_all(queries: DataFrame, entities: DataFrame, k: int, block: int = 4096):
-    """Top-k entities per query vector by dot product, (qid, entity, score, rk): block matrix products in Arrow batches.
+def score_all(queries: DataFrame, entities: DataFrame, k: int, query_block: int = 2048, entity_block: int = 16384) -> DataFrame:
+    """Top-k entities per query vector by dot product, (qid, entity, score, rk).
 
-    A stated query set against all entities, in blocks of queries: queries(qid, vec) of a block are collected and shipped, entities(entity, vec) stream; each task keeps k per query and the partial lists are merged.
+    A stated query set against all entities as a block matrix product: queries(qid, vec) and entities(entity, vec) are cut into blocks of bounded size, every cell of the grid of
+    blocks is one task that keeps k per query, and the partial lists are merged. Nothing is collected or broadcast.
     """
     import numpy as np
-    import pyarrow as pa
-
-    spark = queries.sparkSession
-    n = queries.count()
-    blocks = max(1, -(-n // block))
-    out = None
-    for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) if blocks > 1 else queries
-        rows = part.select("qid", "vec").orderBy("qid").collect()
-        shared = spark.sparkContext.broadcast(([r["qid"] for r in rows], np.array([r["vec"] for r in rows], np.float64)))
-
-        def run(batches, shared=shared):
-            ids, q = shared.value
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                e = np.stack([np.asarray(x, np.float64) for x in batch.column(1).to_pylist()])
-                names = np.asarray(batch.column(0).to_pylist())
-                s = np.round(q @ e.T, 9)
-                for i, qid in enumerate(ids):
-                    order = np.lexsort((names, -s[i]))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array([qid] * len(order)), pa.array(names[order]), pa.array(s[i][order])], names=["qid", "entity", "score"])
-
-        kind = dict(queries.dtypes)["qid"], dict(entities.dtypes)["entity"]
-        got = entities.select("entity", "vec").mapInArrow(run, f"qid {kind[0]}, entity {kind[1]}, score double")
-        out = got if out is None else out.unionByName(got)
-    return top_k(out, ["qid"], "score", "entity", k)
+    import pandas as pd
+
+    nq, ne = (max(1, -(-df.count() // size)) for df, size in ((queries, query_block), (entities, entity_block)))
+    number = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    q = queries.select("qid", "vec", F.pmod(F.xxhash64("qid"), F.lit(nq)).alias("qb"), number(ne).alias("eb"))
+    e = entities.select("entity", "vec", number(nq).alias("qb"), F.pmod(F.xxhash64("entity"), F.lit(ne)).alias("eb"))
+
+    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"qid": left["qid"][:0], "entity": right["entity"][:0], "score": np.empty(0)})
+        right = right.sort_values("entity", kind="stable")
+        s = np.round(np.stack(left["vec"].to_list()) @ np.stack(right["vec"].to_list()).T, 9)
+        order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({"qid": np.repeat(left["qid"].to_numpy(), order.shape[1]), "entity": right["entity"].to_numpy()[order.ravel()], "score": np.take_along_axis(s, order, 1).ravel()})
+
+    kind = dict(queries.dtypes)["qid"], dict(entities.dtypes)["entity"]
+    parts = q.groupBy("qb", "eb").cogroup(e.groupBy("qb", "eb")).applyInPandas(lambda a, b: cell(a, b), f"qid {kind[0]}, entity {kind[1]}, score double")
+    return top_k(parts, ["qid"], "score", "entity", k)

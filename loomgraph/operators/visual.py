@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.schemas import DEFAULT_LAT, DEFAULT_LON
+from loomgraph.session import cut
 
 #: Caption families in order (fixed values): actions, positions, plain prepositions.
 FAMILIES = (
@@ -59,24 +60,33 @@ def label_index(facts: DataFrame) -> DataFrame:
     return e.groupBy(F.lower(F.trim("e.label")).alias("key")).agg(last.alias("m"), F.min(o).alias("pos")).select("key", F.col("m.lat").alias("lat"), F.col("m.lon").alias("lon"), "pos")
 
 
-def resolve(entities: DataFrame, index: DataFrame, min_gram: int = 4) -> DataFrame:
+def resolve(entities: DataFrame, index: DataFrame, gram: int = 4) -> DataFrame:
     """(entity, lat, lon, how): exact label, else the first index label that contains the entity or is contained in it, else the default point.
 
-    The substring step joins on shared grams of min_gram characters (a key within a label shares its first gram with it), so nothing is compared with everything; keys and labels shorter
-    than a gram, which may match many labels, join on prefixes of their own length against the same gram table.
+    The substring step joins on grams, so nothing is compared with everything: a text within another has all its grams there, so it goes to the join by its rarest one only, counted over the
+    other side. Heads that many labels share (the word for battle, say) are thus never the join key while a text has a rarer part. Texts shorter than a gram go by themselves.
     """
     keyed = entities.select("entity").distinct().withColumn("key", F.lower(F.trim("entity")))
-    exact = keyed.join(index.select("key", "lat", "lon", F.lit("exact").alias("how")), "key", "left")
+    exact = cut(keyed.join(index.select("key", "lat", "lon", F.lit("exact").alias("how")), "key", "left"))
     miss = exact.where("how is null").select("entity", "key")
-    grams = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(min_gram)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, n)))))
-    head = lambda c: F.substring(c, 1, min_gram)
-    # key within label: the key's head is a gram of the label; label within key: the label's head is a gram of the key
-    a = miss.where("key <> ''").withColumn("g", head(F.col("key"))).join(index.select(F.col("key").alias("label"), "lat", "lon", "pos", F.explode(grams(F.col("key"))).alias("g")), "g").where(F.contains("label", "key"))
-    b = miss.withColumn("g", F.explode(grams(F.col("key")))).join(index.where("key <> ''").select(F.col("key").alias("label"), "lat", "lon", "pos", head(F.col("key")).alias("g")), "g").where(F.contains("key", "label"))
-    empty = index.agg(F.min(F.struct("pos", "lat", "lon")).alias("m")).select(F.lit("").alias("key"), F.col("m.pos").alias("pos"), F.col("m.lat").alias("lat"), F.col("m.lon").alias("lon"))
-    c = miss.join(F.broadcast(empty), "key")  # one row: an empty key is within the first label
-    near = a.select("entity", "pos", "lat", "lon").union(b.select("entity", "pos", "lat", "lon")).union(c.select("entity", "pos", "lat", "lon"))
-    first = near.groupBy("entity").agg(F.min(F.struct("pos", "lat", "lon")).alias("m")).select("entity", F.col("m.lat").alias("lat2"), F.col("m.lon").alias("lon2"))
+    pieces = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, n))
+    own = lambda c: F.array_distinct(pieces(c, F.least(F.length(c), F.lit(gram))))
+    every = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(gram)), lambda n: pieces(c, n))))
+    labels = index.where("key <> ''").select(F.col("key").alias("label"), "lat", "lon", "pos")
+
+    def within(small: DataFrame, s: str, large: DataFrame, t: str) -> DataFrame:
+        """Pairs of rows where text s of small stands within text t of large."""
+        parts = large.select(t, F.explode(every(F.col(t))).alias("g"))
+        counts = parts.groupBy("g").agg(F.count("*").alias("n"))
+        grams = small.select(s, F.explode(own(F.col(s))).alias("g")).join(counts, "g", "left")
+        rarest = grams.groupBy(s).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("m")).where("m.n > 0").select(s, F.col("m.g").alias("g"))
+        return rarest.join(parts, "g").where(F.contains(t, s)).select(s, t)
+
+    keys = miss.where("key <> ''").select("key").distinct()
+    both = within(keys, "key", labels.select("label"), "label").unionByName(within(labels.select("label"), "label", keys, "key")).distinct()
+    hits = both.join(labels, "label").groupBy("key").agg(F.min(F.struct("pos", "lat", "lon")).alias("m"))
+    empty = index.agg(F.min(F.struct("pos", "lat", "lon")).alias("m")).where("m is not null").select(F.lit("").alias("key"), "m")  # an empty key is within the first label
+    first = miss.join(hits.unionByName(empty), "key").select("entity", F.col("m.lat").alias("lat2"), F.col("m.lon").alias("lon2"))
     out = exact.join(first, "entity", "left")
     return out.select("entity", F.coalesce("lat", "lat2", F.lit(DEFAULT_LAT)).alias("lat"), F.coalesce("lon", "lon2", F.lit(DEFAULT_LON)).alias("lon"), F.when(F.col("how").isNotNull(), "exact").when(F.col("lat2").isNotNull(), "contains").otherwise("default").alias("how"))
 

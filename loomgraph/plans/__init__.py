@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Topic modules, each with a `book` of queries.
-TOPICS = ("spatial", "questions", "splits", "audit", "reliability", "merge", "triples", "parsers", "visual", "retrieval", "metrics", "calendar", "io")
+TOPICS = ("spatial", "questions", "splits", "audit", "reliability", "merge", "triples", "parsers", "visual", "retrieval", "metrics", "calendar", "io", "model")
 
 
 def _books():

@@ -54,11 +54,8 @@ def _(spark, d):
 @book.add("io_keyed_service", "SELECT n_name AS key, n_nationkey % 3 <> 0 AS ok, CASE WHEN n_nationkey % 3 <> 0 THEN 'N' || n_nationkey END AS body FROM nation")
 def _(spark, d):
     rows = table(spark, d, "nation").select("n_name", "n_nationkey").collect()  # 25 rows, fixed
-    at = _shared(spark).removeprefix("file:")
-    os.makedirs(at, exist_ok=True)
-    with open(f"{at}/fixture.json", "w", encoding="utf-8") as f:
-        json.dump({r["n_name"]: f"N{r['n_nationkey']}" for r in rows if r["n_nationkey"] % 3}, f)
-    return remote.fetch(spark, [r["n_name"] for r in rows], transport="fixture", fixture=f"{at}/fixture.json", batch="10")
+    bodies = json.dumps({r["n_name"]: f"N{r['n_nationkey']}" for r in rows if r["n_nationkey"] % 3})
+    return remote.fetch(spark, [r["n_name"] for r in rows], transport="fixture", bodies=bodies, batch="10")
 
 
 @book.add("stream_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -83,7 +80,13 @@ def _(spark, d):
     return v.select("vec_id", F.round(md.mlp_col(F.col("v"), w1, np.zeros(16), w2, 0.0), 6).alias("score"))
 
 
-@book.add("model_attention")
+_TOK = "v[16 * t + 8 * (h // 4) + k]"
+
+
+@book.add("model_attention", f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT vec_id, v, list_transform(range(64), lambda j: list_sum(list_transform(range(64), lambda i: v[i + 1] * {_W('i', 'j', 7)}))) AS q FROM e),
+    s AS (SELECT vec_id, v, h, list_transform(range(4), lambda t: list_sum(list_transform(range(1, 9), lambda k: q[8 * h + k] * {_TOK})) / sqrt(8)) AS s FROM q, (SELECT unnest(range(8)) AS h)), w AS (SELECT *, list_transform(s, lambda x: exp(x - list_max(s))) AS x FROM s),
+    o AS (SELECT vec_id, h, list_transform(range(1, 9), lambda k: list_sum(list_transform(range(4), lambda t: x[t + 1] / list_sum(x) * {_TOK}))) AS o FROM w)
+    SELECT vec_id, round(sum(list_sum(list_transform(range(8), lambda k: o[k + 1] * {_W('(8 * h + k)', '0', 11)}))), 6) AS z1, round(sum(list_sum(list_transform(range(8), lambda k: o[k + 1] * {_W('(8 * h + k)', '7', 11)}))), 6) AS z8 FROM o GROUP BY vec_id""")
 def _(spark, d):
     wq, wo = md.start_matrix(64, 64, 7), md.start_matrix(64, 8, 11)
     v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))

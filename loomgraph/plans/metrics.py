@@ -117,12 +117,14 @@ def _(spark, d):
     return running_position(table(spark, d, "part").select("p_partkey", "p_size", F.col("p_name").alias("scenario")), [], ["p_size", "p_partkey"], rank_col="pos").select("scenario", "pos")
 
 
-@book.add("metric_bootstrap", """WITH r AS (SELECT s_suppkey AS i, 1 + s_suppkey % 7 AS ra, 1 + s_suppkey % 5 AS rb FROM supplier), d AS (SELECT i, 1.0::DOUBLE / ra - 1.0::DOUBLE / rb AS d FROM r), n AS (SELECT count(*) AS n, avg(d) AS obs FROM d),
-    dr AS (SELECT rep, CAST(('0x' || substring(md5('0|' || rep || '|' || pos), 1, 12))::BIGINT % n AS BIGINT) AS i FROM n, (SELECT unnest(range(200)) AS rep), (SELECT i AS pos FROM r)), m AS (SELECT rep, avg(d) AS m FROM dr JOIN d USING (i) GROUP BY rep)
+_POISSON = " + ".join(f"CASE WHEN u >= {t} THEN 1 ELSE 0 END" for t in mt.POISSON)
+
+
+@book.add("metric_bootstrap", f"""WITH d AS (SELECT s_suppkey AS i, 1.0::DOUBLE / (1 + s_suppkey % 7) - 1.0::DOUBLE / (1 + s_suppkey % 5) AS d FROM supplier), n AS (SELECT avg(d) AS obs FROM d),
+    dr AS (SELECT rep, d, ('0x' || substring(md5('0|' || rep || '|' || i), 1, 12))::BIGINT AS u FROM d, (SELECT unnest(range(1000)) AS rep)), m AS (SELECT rep, sum(w * d) / sum(w) AS m FROM (SELECT rep, d, {_POISSON} AS w FROM dr) GROUP BY rep)
     SELECT round(any_value(obs), 6) AS observed, round(avg(CASE WHEN round(abs(m), 9) >= round(abs(obs), 9) THEN 1.0 ELSE 0 END), 6) AS p FROM m, n""")
 def _(spark, d):
-    r = table(spark, d, "supplier").selectExpr("s_suppkey as i", "1 + s_suppkey % 7 as rank_a", "1 + s_suppkey % 5 as rank_b")
-    return mt.bootstrap(r, 200)
+    return mt.bootstrap(table(spark, d, "supplier").selectExpr("s_suppkey as i", "1 + s_suppkey % 7 as rank_a", "1 + s_suppkey % 5 as rank_b"))
 
 
 @book.add("loss_qa", "SELECT round(avg(-ln(greatest(CAST(l_discount AS DOUBLE) * 5, 1e-12))), 6) AS loss FROM lineitem")

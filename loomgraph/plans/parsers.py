@@ -57,7 +57,21 @@ def _(spark, d):
     return ps.timeline(pages(spark, d), place=False).select("page", "pos", "h_label", "tau_start", "tau_end", "vi_context")
 
 
-@book.add("parse_timeline_places")
+def _label(c):
+    return rf"trim(coalesce(nullif(regexp_extract({c}, '{_LINK}', 2), ''), regexp_extract({c}, '{_LINK}', 1)))"
+
+
+_WORDS = "[" + ", ".join(f"'{m}'" for m in ps.PLACE_MARKERS) + "]"
+#: Every position of every place word in the text behind the first link, by trying all of them.
+PLACES_SQL = TIMELINE_SQL.replace("txt AS vi_context FROM l7", "txt AS vi_context, d FROM l7") + rf""" ), tl AS (SELECT *, CASE WHEN regexp_matches(d, '{_LINK}') THEN regexp_extract(d, '(?s){_LINK}(.*)$', 3) ELSE d END AS tail, CASE WHEN regexp_matches(d, '{_LINK}') THEN {_label('d')} END AS own FROM tm),
+    hit AS (SELECT page, pos, own, k, i, substring(tail, i + length(w), 80) AS near FROM (SELECT *, unnest(range(1, length(tail) + 1)) AS i FROM tl) x, (SELECT unnest(range(1, 9)) AS k, unnest({_WORDS}) AS w) m
+        WHERE lower(substring(tail, i, length(w))) = w AND NOT regexp_matches(substring(tail, i + length(w), 1), '[\p{{L}}\p{{N}}\p{{M}}_]') AND (i = 1 OR NOT regexp_matches(substring(tail, i - 1, 1), '[\p{{L}}\p{{N}}\p{{M}}_]'))),
+    best AS (SELECT page, pos, arg_min(label, (k, i)) AS place FROM (SELECT *, {_label('near')} AS label FROM hit) WHERE label <> '' AND (own IS NULL OR label <> own) GROUP BY page, pos)
+    SELECT page, pos, h_label, 'occurredAt' AS r, coalesce(place, 'Việt Nam') AS t_label, tau_start, tau_end, vi_context FROM tm LEFT JOIN best USING (page, pos)"""
+PLACES_SQL = PLACES_SQL.replace("    SELECT page, pos, label AS h_label", "    tm AS (SELECT page, pos, label AS h_label", 1).replace("IN ('dated', 'free') AND txt <> '' AND label <> '')\n", "IN ('dated', 'free') AND txt <> '' AND label <> ''),\n", 1)
+
+
+@book.add("parse_timeline_places", PLACES_SQL)
 def _(spark, d):
     return ps.timeline(pages(spark, d))
 

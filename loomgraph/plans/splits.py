@@ -158,7 +158,20 @@ def _(spark, d):
     return m.groupBy("split").agg(F.count("*").alias("n_questions"), k.alias("n_with_image"), F.round(100.0 * k / F.count("*"), 2).alias("pct_with_image"))
 
 
-@book.add("showcase_pick")
+def _showcase_sql() -> str:
+    """The picks one after another: every step takes the head of one ordering among the facts not chosen yet."""
+    steps = [f"""f AS (SELECT q.qid, q.fact_id, q.relation, coalesce(img.image_url, '') <> '' AS has_image, coalesce(s.fact_6tuple.tau_start <> s.fact_6tuple.tau_end, false) AS is_interval, q.template_id = '{qs.REVERSE}' AS is_reverse FROM questions q JOIN showcase_samples s ON q.qid = s.qid LEFT JOIN img ON q.qid = img.qid),
+    p AS (SELECT *, md5('42|' || qid) AS draw FROM f), c0 AS (SELECT * FROM p WHERE false)"""]
+    picks = [(f"relation = '{r}'", "NOT has_image, ", "1", "") for r in ("bornIn", "diedIn", "locatedIn", "occurredAt")]
+    picks += [("is_interval", "", "1", "AND NOT EXISTS (SELECT 1 FROM {c} WHERE is_interval)"), ("is_reverse", "", "1", "AND NOT EXISTS (SELECT 1 FROM {c} WHERE is_reverse)"), ("true", "NOT has_image, ", "(SELECT greatest(8 - count(*), 0) FROM {c})", "")]
+    for i, (cond, order, limit, unless) in enumerate(picks):
+        c = f"c{i}"
+        steps.append(f"""n{i} AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY NOT has_image, draw, qid) AS k FROM p WHERE {cond} AND fact_id IS NOT NULL AND qid NOT IN (SELECT qid FROM {c}) AND fact_id NOT IN (SELECT fact_id FROM {c}) {unless.format(c=c)}) WHERE k = 1 ORDER BY {order}draw, qid LIMIT {limit.format(c=c)}),
+    c{i + 1} AS (SELECT * FROM {c} UNION ALL SELECT * FROM n{i})""")
+    return f"WITH {IMG_SQL}, " + ", ".join(steps) + f" SELECT qid, fact_id, relation, has_image, is_interval, is_reverse FROM c{len(picks)}"
+
+
+@book.add("showcase_pick", _showcase_sql())
 def _(spark, d):
     q = table(spark, d, "questions").select("qid", "fact_id", "relation", "template_id")
     s = table(spark, d, "showcase_samples").select("qid", F.coalesce(F.col("fact_6tuple.tau_start") != F.col("fact_6tuple.tau_end"), F.lit(False)).alias("is_interval"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import copy
 import os
 import zipfile
-from typing import Any
+from typing import Any, BinaryIO
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
@@ -84,8 +84,8 @@ def cache_table(spark: SparkSession, path: str) -> DataFrame:
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 
 
-def sheet(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """One named sheet of a workbook as text columns, row 1 is the header; a missing sheet raises. Sheets are small by nature and read on the driver."""
+def sheet(spark: SparkSession, path: str | BinaryIO, name: str) -> DataFrame:
+    """One named sheet of a workbook (a path or an open file) as text columns, row 1 is the header; a missing sheet raises. Sheets are small by nature and read on the driver."""
     with zipfile.ZipFile(path) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():

@@ -1,7 +1,7 @@
 """Remote services as a Python data source: triple stores, wiki pages, entity records and geocoders.
 
 spark.read.format("keyed_service").options(keys=..., service=...).load() gives (key, ok, body). Keys are cut into partitions of one request batch
-each. The transport is a registered function from (service, keys) to bodies; `fixture` reads them from a JSON file, so pipelines and
+each. The transport is a registered function from (service, keys) to bodies; `fixture` reads them from a JSON file or from the option `bodies`, so pipelines and
 tests run without a network. Failures are retried with growing delays and then raised: an outage never looks like an empty result.
 """
 
@@ -20,8 +20,11 @@ SCHEMA = "key string, ok boolean, body string"
 
 
 def _fixture(options: dict, keys: list[str]) -> dict[str, str | None]:
-    with open(options["fixture"], encoding="utf-8") as f:
-        data = json.load(f)
+    if "bodies" in options:
+        data = json.loads(options["bodies"])
+    else:
+        with open(options["fixture"], encoding="utf-8") as f:
+            data = json.load(f)
     return {k: None if data.get(k) is None else data[k] if isinstance(data[k], str) else json.dumps(data[k], ensure_ascii=False) for k in keys}
 
 

@@ -336,3 +336,117 @@ def test_sheet(spark, tmp_path):
     assert [tuple(r) for r in files.sheet(spark, str(tmp_path / "w.xlsx"), "A").collect()] == [(None, "1")]
     with pytest.raises(ValueError):
         files.sheet(spark, str(tmp_path / "w.xlsx"), "B")
+
+
+def test_place_of_a_description(spark):
+    from loomgraph.operators.parsers import place_link
+
+    cases = {
+        "[[Trận A]] ở [[Huế]], kinh đô tại [[Hà Nội]]": "Hà Nội", "[[Trận A]] ở [[Trận A]] rồi trên [[Sông B|sông Bê]]": "sông Bê", "[[Trận A]] tạit [[Huế]]": "", "tại [[Trận A]] và [[Huế]]": "", "[[Trận A]] Ở [[Huế#x|]]": "", "[[A]] TẠI [[Huế]]": "Huế",
+        "[[A]] tại " + "x" * 90 + "[[Huế]]": "", "[[A]] tại tại [[Huế]]": "Huế", "không liên kết": "", "[[A]] ở [[B]] ở [[C]]": "B",
+    }
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "d string").select("d", place_link(F.col("d")).alias("p"))
+    assert {r["d"]: r["p"] for r in df.collect()} == cases | {None: None}
+
+
+def test_bootstrap_equals_a_plain_one(spark):
+    import hashlib
+
+    rows = [(i, 1 + i % 7, 1 + i % 5) for i in range(40)]
+    got = one(metrics.bootstrap(spark.createDataFrame(rows, "i long, rank_a int, rank_b int"), 60))
+    d = [1 / a - 1 / b for _, a, b in rows]
+    obs, hit = sum(d) / len(d), 0
+    for rep in range(60):
+        w = [sum(int(hashlib.md5(f"0|{rep}|{i}".encode()).hexdigest()[:12], 16) >= t for t in metrics.POISSON) for i, _, _ in rows]
+        hit += round(abs(sum(x * y for x, y in zip(w, d)) / sum(w)), 9) >= round(abs(obs), 9)
+    assert got["observed"] == round(obs, 6) and got["p"] == round(hit / 60, 6)
+
+
+def test_latency_of_few_values(spark):
+    df = spark.createDataFrame([(3.0,), (1.0,), (None,), (2.0,), (10.0,)], "v double")
+    r = one(metrics.latency(df, "v"))
+    assert (r["mean"], r["p50"], r["p95"]) == (4.0, 2.5, 8.95)
+    assert tuple(one(metrics.latency(df.where("v > 99"), "v"))) == (None, None, None)
+
+
+def test_checkpoint_folder_is_asked_for_on_a_cluster(monkeypatch):
+    from loomgraph import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                class D:
+                    @staticmethod
+                    def getCheckpointDir():
+                        class E:
+                            isDefined = staticmethod(lambda: False)
+
+                        return E
+
+                return D
+
+        getConf = staticmethod(Conf)
+
+    class Session:
+        sparkContext, conf = Context, Conf()
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.ensure_checkpoint_dir(Session)
+
+
+def test_images(spark, tmp_path):
+    import numpy as np
+
+    from loomgraph.sources import images
+
+    px = np.arange(4 * 6 * 3).reshape(4, 6, 3) % 256
+    data = images.encode_pixmap(px)
+    assert (images.decode_pixmap(data) == px).all() and (images.decode_pixmap(b"P5 # grey\n2 1\n255\n\x01\x02") == [[[1] * 3, [2] * 3]]).all()
+    assert np.allclose(images.area_means(px, 2, 3), px.reshape(2, 2, 3, 2, 3).mean((1, 3))) and images.area_means(px, 8, 12).shape == (8, 12, 3)
+    (tmp_path / "a.ppm").write_bytes(data)
+    (tmp_path / "b.ppm").write_bytes(b"nothing")
+    df = images.read_images(spark, str(tmp_path))
+    got = {r["path"][-5:]: (r["ok"], r["width"], r["height"]) for r in images.thumbnails(df, "path", 3).collect()}
+    assert got == {"a.ppm": (True, 3, 2), "b.ppm": (False, None, None)}
+    vec = images.features(df, "path", unit=True).collect()
+    assert len(vec) == 1 and len(vec[0]["vec"]) == 768 and abs(sum(x * x for x in vec[0]["vec"]) - 1) < 1e-9
+    waits, answers = [], iter([(429, b""), (429, b""), (200, b"x")])
+    assert images.download("u", lambda _: next(answers), sleep=waits.append) == b"x" and waits == [30, 60]
+    assert images.download("u", lambda _: (429, b""), sleep=waits.append) is None and waits[2:] == [30, 60, 120] and images.download("u", lambda _: (404, b"")) is None
+
+
+def test_training_learns_saves_and_resumes(spark, tmp_path, sf_dir):
+    from loomgraph.operators import training
+    from loomgraph.plans.base import facts
+
+    f = facts(spark, sf_dir).limit(60)
+    path = str(tmp_path / "run")
+    h = training.train(spark, f, path, 4, epochs=3, rate=5.0).collect()
+    assert [r["epoch"] for r in h] == [0, 1, 2] and h[2]["loss"] < h[0]["loss"]
+    assert sorted(map(tuple, training.train(spark, f, path, 4, epochs=9).collect())) == sorted(map(tuple, h))  # finished: not run again
+    import shutil
+
+    shutil.rmtree(f"{path}/history")
+    again = training.train(spark, f, path, 4, epochs=1).collect()
+    assert abs(again[0]["loss"] - h[2]["loss"]) < 1e-9  # goes on from the saved tables
+    with pytest.raises(ValueError, match="width"):
+        training.load_parameters(spark, f"{path}/tables", 5)
+
+
+def test_question_pass_ablations(spark, sf_dir):
+    from loomgraph.operators import training as tn
+    from loomgraph.plans.base import facts
+
+    f = facts(spark, sf_dir).limit(40)
+    q = f.limit(5).selectExpr("concat('q', fact_id) as qid", "fact_id", "t as answer_entity").withColumn("qv", tn.stub_vector(F.col("qid"), 4))
+    pool, tables = f.limit(3).select("fact_id"), tn.start_tables(spark, 4)
+    base = {r["qid"]: (r["rank"], round(r["loss"], 6)) for r in tn.question_pass(q, f, pool, tables).collect()}
+    plain = {r["qid"]: (r["rank"], round(r["loss"], 6)) for r in tn.question_pass(q, f, pool, tables, drop_facts=True).collect()}
+    assert base and base.keys() == plain.keys() and base != plain and all(r >= 1 and x >= 0 for r, x in base.values())
