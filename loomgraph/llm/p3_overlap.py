@@ -3,7 +3,7 @@
 Method: Aho-Corasick automata over sharded, normalised evaluation passages scan all training texts. A passage is the folded question
 without courteous openings and closings. Three disjoint fragments of it, the rarest of its shard, are the automaton's
 words: with a letter between one and the next, two mistyped or swapped letters cannot break all of them. Every training text of the passage's entity runs through the automaton
-once; for each passage hit, the intervals of its eight chunks found in the training text are merged into a coverage of the
+once; for each passage hit, a second automaton finds its eight chunks in the training text, and the intervals of those at about their own place are merged into a coverage of the
 evaluation record, and pairs with enough coverage go to the exact check of words (lost accents, at most two mistyped letters, same
 numbers and ordinals). Whether a differing word is a slip or another name is settled by its corpus count against the word it stands for.
 
@@ -173,6 +173,7 @@ class Passages:
         #: Two mistyped letters can leave nothing of these: they go to the exact check against every text of about their length.
         self.short = {k for k, t in enumerate(self.text) if len(t) < _SHORT}
         self.any = bool(auto)
+        self.chunks: dict[int, ahocorasick.Automaton] = {}
 
     @staticmethod
     def _fragments(t: str, grams: Counter | None) -> list[str]:
@@ -196,9 +197,9 @@ class Passages:
         return even if best is None else best[1]
 
     def scan(self, text: str, least: float, slack: int = 2) -> list[tuple[int, float]]:
-        """(passage, coverage) of the passages that may stand in the text: merged intervals of their chunks found in it.
+        """(passage, coverage) of the passages that may stand in the text.
 
-        slack: passages whose length differs by more letters than may be mistyped are another question.
+        slack: letters by which a chunk may be shifted; passages whose length differs by more letters than may be mistyped are another question.
         """
         n = len(text)
         out = []
@@ -209,17 +210,31 @@ class Passages:
             if t == text:
                 out.append((k, 1.0))
                 continue
+            cover = self.coverage(k, text, slack)
+            if cover >= least or k in self.short:
+                out.append((k, cover))
+        return out
+
+    def coverage(self, k: int, text: str, slack: int) -> float:
+        """Share of a passage whose chunks stand in the text at about their own place: merged intervals of their automaton's matches."""
+        t = self.text[k]
+        if k not in self.chunks:
+            starts: dict[str, list[int]] = {}
             step = max(1, len(t) // 8)
-            lost, most = 0, (1 - least) * len(t) if k not in self.short else len(t)
             for i in range(0, len(t), step):
-                piece = t[i : i + step]
-                if piece not in text:
-                    lost += len(piece)
-                    if lost > most:
-                        break
-            else:
-                out.append((k, 1 - lost / max(1, len(t))))
-        return out
+                starts.setdefault(t[i : i + step], []).append(i)
+            auto = ahocorasick.Automaton()
+            for piece, at in starts.items():
+                auto.add_word(piece, (len(piece), at))
+            if starts:
+                auto.make_automaton()
+            self.chunks[k] = auto
+        found = {(i, i + n) for end, (n, at) in self.chunks[k].iter(text) for i in at if -slack <= end + 1 - n - i <= slack} if t and text else ()
+        covered, last = 0, 0
+        for a, b in sorted(found):
+            covered += max(0, b - max(a, last))
+            last = max(last, b)
+        return covered / max(1, len(t))
 
 
 def _scan_cell(pdf: pd.DataFrame) -> pd.DataFrame:

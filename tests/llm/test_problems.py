@@ -328,6 +328,36 @@ def test_p3_two_slips_anywhere_reach_the_exact_check(many):
         assert set(got[got.eval_cid == f"e{name}"].train_cid) == want, name
 
 
+@pytest.mark.parametrize("many", [1, 300])
+def test_p3_no_pair_of_two_slips_is_lost_before_the_exact_check(many):
+    """5,000 passages with two slips each (letters changed, dropped, added, swapped, also next to each other): the scan proposes every one, whatever the exact check then says."""
+    rng = random.Random(many)
+    letters = "abcdeghiklmnopqrstuvxy"
+    passages = ["".join(rng.choice(letters) for _ in range(rng.randint(5, 60))) for _ in range(many)]
+    scan = p3.Passages(passages)
+    for n in range(5000):
+        k = rng.randrange(many)
+        x = list(passages[k])
+        at = rng.randrange(len(x))
+        for _ in range(2):
+            i = min(max(at + rng.choice([0, 0, 1, 2, 8, -5, rng.randrange(60)]), 0), len(x) - 1)
+            kind = rng.randrange(4)
+            if kind == 0:
+                x[i] = rng.choice(letters)
+            elif kind == 1 and len(x) > 3:
+                del x[i]
+            elif kind == 2:
+                x.insert(i, rng.choice(letters))
+            elif i + 1 < len(x):
+                x[i], x[i + 1] = x[i + 1], x[i]
+        assert k in dict(scan.scan("".join(x), p3._LEAST)), (passages[k], "".join(x))
+
+
+def test_p3_coverage_is_of_merged_intervals_in_place():
+    p = p3.Passages(["abcdefghijklmnop"])
+    assert p.coverage(0, "abcdefghijklmnop", 2) == 1.0 and p.coverage(0, "opmnklijghefcdab", 2) == 0.25 and p.coverage(0, "abcdefgh--------", 2) == 0.5 and p.coverage(0, "", 2) == 0.0
+
+
 def test_p3_empty_and_report(spark, overlap_case):
     q, m = overlap_case
     assert p3.found(empty(q), m).count() == 0 == p3.found(q, empty(m)).count()
