@@ -162,18 +162,19 @@ def normalised(long: DataFrame) -> DataFrame:
         model = None
         seen: dict[str, tuple] = {}
         for b in batches:
-            rows = []
-            for text in b.column(3).to_pylist():
-                if text not in seen:
-                    form, changed = canonical(text)
-                    bad = False
-                    if text and ("?" in text or not all(c in _CLEAN for c in text)):
-                        model = model or Model(counts)
-                        bad = bool(model.spans(text))
-                    if len(seen) > 100_000:
-                        seen.clear()
-                    seen[text] = (text, False, True, False) if bad else (form, changed, False, changed and other_script(text))
-                rows.append(seen[text])
+            texts = b.column(3).to_pylist()
+            if len(seen) > 100_000:
+                seen.clear()
+            new = [t for t in dict.fromkeys(texts) if t not in seen]
+            odd = [t for t in new if t and ("?" in t or not _CLEAN.issuperset(t))]
+            if odd:
+                model = model or Model(counts)
+                odd = [t for t, maybe in zip(odd, model.open_texts(odd)) if maybe and model.spans(t)]  # texts that are not open have an all-clean path
+            bad = set(odd)
+            for t in new:
+                form, changed = canonical(t)
+                seen[t] = (t, False, True, False) if t in bad else (form, changed, False, changed and other_script(t))
+            rows = [seen[t] for t in texts]
             cols = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cols[0], pa.string()), *[pa.array(c, pa.bool_()) for c in cols[1:]]], names=["tbl", "rec_key", "field", "text", "canonical", "changed", "damaged", "other_script"])
 
