@@ -7,9 +7,9 @@ once; for each passage hit, a second automaton finds its eight chunks in the tra
 evaluation record, and pairs with enough coverage go to the exact check of words (lost accents, at most two mistyped letters, same
 numbers and ordinals). Whether a differing word is a slip or another name is settled by its corpus count against the word it stands for.
 
-Sharding: only entities with both sides count. Small entities share hash shards of bounded expected size; an entity
-with more passages or texts than a block is cut into blocks on both sides, so that no task holds an unbounded group. Copies
-of a text are one class until the final join.
+Sharding: only entities with both sides count. Small entities share hash shards of bounded expected size. The texts of an entity with more passages or texts
+than a block meet by keys instead (`near_pairs`): each key holds all pieces of a passage but two, so that no task holds an unbounded group and no block of texts
+meets every other block. Copies of a text are one class until the final join.
 
 Defined results: null question or answer_entity matches nothing; a qid in no split is in no pair; a qid in train and in an evaluation split counts on both sides, never with itself;
 repeated member rows count once; texts are read whole; empty tables give empty results; extra columns are ignored.
@@ -19,10 +19,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -44,6 +47,11 @@ _SHORT = 5
 #: Coverage that two mistyped or swapped letters always leave: each breaks at most two of eight chunks or more.
 _LEAST = 0.5
 _ROMAN = re.compile(r"[ivxlc]+$")
+#: Pieces of a passage of a large entity, of which any two may be damaged; letters by which pieces may leave the text.
+_PIECES, _PAD = 10, 3
+#: Probes of the filter of evaluation keys, and its most bits (as a power of two).
+_PROBES, _MOST_BITS = 4, 30
+_BASE, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
 def split_name(c: Column) -> Column:
@@ -257,26 +265,186 @@ def _scan_cell(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["eval_cid", "train_cid", "coverage", "slips"])
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _cuts(n: int) -> list[tuple[int, int]]:
+    """Pieces of a passage of n letters, a letter between one and the next, so that a mistyped letter or a swap damages one at most."""
+    k = max(3, min(_PIECES, n // 3))
+    at = [i * n // k for i in range(k + 1)]
+    return [(a, b if b == n else max(a, b - 1)) for a, b in zip(at, at[1:])]
+
+
+def _keys(letters: np.ndarray, salt: np.ndarray, evaluation: bool) -> Iterator[np.ndarray]:
+    """Keys of texts of one length (a row of letters each): all pieces but two of a passage, with the salt of the text.
+
+    A training text has the keys under which it may be a passage of at most two letters less or more: pieces before the first slip stand in place, those between the two
+    are moved by one letter at most, those behind the second by the difference in length.
+    """
+    m = letters.shape[1]
+    c = np.pad(letters.T.astype(np.uint64) + np.uint64(1), ((_PAD, _PAD), (0, 0)))
+    before, power = np.zeros((len(c) + 1, c.shape[1]), np.uint64), np.cumprod(np.append(np.uint64(1), np.full(len(c), _BASE)))
+    for i, row in enumerate(c):
+        before[i + 1] = before[i] * _BASE + row
+    for n in [m] if evaluation else range(max(1, m - 2), m + 3):
+        pieces, end = _cuts(n), m - n
+        k, sums = len(pieces), {}
+        for s in {0, end} if evaluation else {-1, 0, 1, end}:
+            sums[s] = np.zeros((k + 1, len(letters)), np.uint64)
+            for j, (a, b) in enumerate(pieces):
+                part = before[b + s + _PAD] - before[a + s + _PAD] * power[b - a]
+                sums[s][j + 1] = sums[s][j] + _mixed((part + np.uint64(j + 1)) * _MIX)
+        for x in range(k):
+            for y in range(x + 1, k):
+                rest = sums[0][x] + sums[end][k] - sums[end][y + 1] + salt + np.uint64((n * 64 + x) * 64 + y)
+                for s in [0] if evaluation or y == x + 1 else [s for s in (-1, 0, 1) if abs(end - s) <= 1]:
+                    yield _mixed((rest + sums[s][y] - sums[s][x + 1]) * _MIX)
+
+
+def _spot(keys: np.ndarray, probe: int, bits: int) -> np.ndarray:
+    """Place of each key in the filter, for one of its probes."""
+    return (_mixed(keys + np.uint64(probe) * _MIX) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _letters_of(c: np.ndarray) -> np.ndarray:
+    """52 bits of each text: whether it has each letter, and whether twice. A mistyped letter changes two bits at most, a swap none."""
+    out = np.zeros(len(c), np.int64)
+    for i in range(26):
+        n = (c == 97 + i).sum(1)
+        out |= ((n > 0).astype(np.int64) << 2 * i) | ((n > 1).astype(np.int64) << 2 * i + 1)
+    return out
+
+
+def _key_rows(evaluation: bool, occupied=None):
+    """Rows (key, id, letters) of texts(id, salt, core); with `occupied` (a broadcast bitmap) only those under a key of an evaluation text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken = None if occupied is None else np.frombuffer(occupied.value, np.uint8)
+        bits = 0 if taken is None else len(taken).bit_length() + 2
+        rows: list[tuple[int, int, str]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            by: dict[int, list] = {}
+            for id_, salt, core in rows:
+                text = plain(core)
+                numbers = " ".join(w for w in text.split() if any(ch.isdigit() for ch in w)) if any(ch.isdigit() for ch in text) else ""
+                text = text.replace(" ", "")
+                by.setdefault(len(text), []).append((id_, (salt + zlib.crc32(numbers.encode()) * 0x632BE5AB) % (1 << 64), text))
+            rows.clear()
+            for n, part in by.items():
+                c = np.frombuffer("".join(t for _, _, t in part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), n)
+                ids, salt, letters = np.array([i for i, _, _ in part], np.int64), np.array([x for _, x, _ in part], np.uint64), _letters_of(c)
+                keys, owner = [], []
+                for key in _keys(c, salt, evaluation):
+                    at = np.arange(len(key))
+                    if taken is not None:
+                        for i in range(_PROBES):
+                            spot = _spot(key[at], i, bits)
+                            at = at[(taken[spot >> 3] >> (spot & 7)) & 1 == 1]
+                    keys.append(key[at].view(np.int64))
+                    owner.append(at)
+                at = np.concatenate(owner)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(ids[at]), pa.array(letters[at])], names=["key", "id", "letters"])
+
+        for b in batches:
+            rows.extend(zip(*(b.column(i).to_pylist() for i in range(3))))
+            if len(rows) >= 50_000:
+                yield from flush()
+        yield from flush()
+
+    return run
+
+
+def _filter(keys: DataFrame, bits: int) -> bytes:
+    """Bitmap of the probes of all keys: at most 2^_MOST_BITS bits reach the driver, whatever the number of keys."""
+    width = min(bits, 19)
+
+    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k = b.column(0).to_numpy().view(np.uint64)
+            spot = np.concatenate([_spot(k, i, bits) for i in range(_PROBES)])
+            order = np.argsort(spot, kind="stable")
+            spot = spot[order]
+            start = np.flatnonzero(np.append(True, np.diff(spot >> width) != 0)) if len(spot) else np.empty(0, np.int64)
+            low = (spot & ((1 << width) - 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array((spot[start] >> width).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.append(start, len(spot)).astype(np.int32)), pa.array(low))], names=["block", "low"])
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken: dict[int, np.ndarray] = {}
+        for b in batches:
+            off, low = b.column(1).offsets.to_numpy(), b.column(1).values.to_numpy()
+            for i, k in enumerate(b.column(0).to_pylist()):
+                taken.setdefault(k, np.zeros(1 << width, bool))[low[off[i] : off[i + 1]]] = True
+        for k, t in taken.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(t, bitorder="little").tobytes()])], names=["block", "bits"])
+
+    out = bytearray(1 << bits - 3)
+    rows = keys.select("key").mapInArrow(probes, "block int, low array<int>").repartition("block").mapInArrow(block, "block int, bits binary")
+    for r in rows.toLocalIterator():
+        at = r["block"] << width - 3
+        out[at : at + len(r["bits"])] = r["bits"]
+    return bytes(out)
+
+
+_FOUND = "eval_cid string, train_cid string, coverage double, slips array<struct<a:string,b:string>>"
+
+
+def near_pairs(texts: DataFrame) -> DataFrame:
+    """(eid, tid) of the evaluation and training texts(id, salt, core, is_eval) that agree in all pieces but two and in most letters.
+
+    Every key leaves out two pieces, and two slips damage no more than two, so no pair is lost; no text is compared with all others of its entity.
+    """
+    side = lambda is_eval: texts.where(F.col("is_eval") == F.lit(is_eval)).select("id", "salt", "core")
+    ev = cut(side(True).mapInArrow(_key_rows(True), "key long, id long, letters long"))
+    bits = min(_MOST_BITS, max(16, (12 * ev.count()).bit_length()))
+    occupied = texts.sparkSession.sparkContext.broadcast(_filter(ev, bits))
+    tr = side(False).mapInArrow(_key_rows(False, occupied), "key long, id long, letters long")
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 4
+    return ev.select("key", F.col("id").alias("eid"), F.col("letters").alias("a")).join(tr.select("key", F.col("id").alias("tid"), F.col("letters").alias("b")), "key").where(near).select("eid", "tid").distinct()
+
+
+def large_pairs(texts: DataFrame) -> DataFrame:
+    """The pairs of `_scan_cell` for entities of any size: texts(entity, core, cid, is_eval) that are near by their keys, after the exact check."""
+    texts = cut(texts.withColumn("id", F.xxhash64("cid")).withColumn("salt", F.shiftrightunsigned(F.xxhash64("entity"), 1)))
+    whole = lambda is_eval, k: texts.where(F.col("is_eval") == F.lit(is_eval)).select(F.col("id").alias(f"{k}id"), F.col("entity").alias(f"{k}entity"), F.col("cid").alias(f"{k}cid"), F.col("core").alias(f"{k}core"))
+    both = near_pairs(texts).join(whole(False, "t"), "tid").join(whole(True, "e"), "eid").where("eentity = tentity").select("ecid", "tcid", "ecore", "tcore")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for e, t, x, y in zip(*(c.to_pylist() for c in b.columns)):
+                slips = compare(x.split(), y.split())
+                if slips is not None:
+                    p, text = Passages([x]), plain(y).replace(" ", "")
+                    rows.append((e, t, round(1.0 if p.text[0] == text else p.coverage(0, text, 2), 4), [{"a": u, "b": v} for u, v in slips]))
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["eval_cid", "train_cid", "coverage", "slips"]), schema=_ARROW, preserve_index=False)
+
+    return both.mapInArrow(check, _FOUND)
+
+
+_ARROW = pa.schema([("eval_cid", pa.string()), ("train_cid", pa.string()), ("coverage", pa.float64()), ("slips", pa.list_(pa.struct([("a", pa.string()), ("b", pa.string())])))])
+
+
 def class_pairs(members: DataFrame, eval_block: int = 20_000, train_block: int = 10_000, slip_ratio: float = 20.0) -> DataFrame:
     """(eval_cid, train_cid, coverage) of matching text classes. members: (qid, entity, core, cid, is_eval), see `membership`.
 
-    eval_block, train_block: rows of one entity per block; slip_ratio: how many times rarer a mistyped word must be than the word it stands for.
+    eval_block, train_block: rows of an entity up to which an automaton scans it; slip_ratio: how many times rarer a mistyped word must be than the word it stands for.
     """
     classes = cut(members.where("core <> ''").groupBy("cid", "is_eval").agg(F.first("entity").alias("entity"), F.first("core").alias("core"), F.count("*").alias("n")))
     sizes = classes.groupBy("entity").agg(F.sum(F.col("is_eval").cast("int")).alias("ne"), F.sum((~F.col("is_eval")).cast("int")).alias("nt")).where("ne > 0 and nt > 0")
     sizes = cut(sizes)
     total = sizes.agg(F.sum(F.col("ne") + F.col("nt")).alias("n")).first()["n"] or 0
     shards = max(1, -(-total // train_block), int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    plan = sizes.select("entity", F.ceil(F.col("ne") / eval_block).cast("int").alias("be"), F.ceil(F.col("nt") / train_block).cast("int").alias("bt"))
-    placed = classes.join(plan, "entity")
-    small = (F.col("be") == 1) & (F.col("bt") == 1)
-    mine = F.when(F.col("is_eval"), F.pmod(F.xxhash64("cid"), F.col("be"))).otherwise(F.pmod(F.xxhash64("cid"), F.col("bt"))).cast("int")
-    others = F.explode(F.sequence(F.lit(0), F.when(F.col("is_eval"), F.col("bt")).otherwise(F.col("be")) - 1))
-    placed = placed.withColumn("mine", mine).withColumn("other", others)
-    i, j = F.when(F.col("is_eval"), F.col("mine")).otherwise(F.col("other")), F.when(F.col("is_eval"), F.col("other")).otherwise(F.col("mine"))
-    cell = F.when(small, F.concat(F.lit("s"), F.pmod(F.xxhash64("entity"), F.lit(shards)).cast("string"))).otherwise(F.concat_ws("|", F.lit("b"), "entity", i.cast("string"), j.cast("string")))
-    cells = placed.select(cell.alias("cell"), "entity", "core", "cid", "is_eval")
-    hits = cut(cells.groupBy("cell").applyInPandas(lambda pdf: _scan_cell(pdf), "eval_cid string, train_cid string, coverage double, slips array<struct<a:string,b:string>>").withColumn("pair", F.concat_ws("|", "eval_cid", "train_cid")))
+    large = (F.col("ne") > eval_block) | (F.col("nt") > train_block)
+    placed = classes.join(sizes.select("entity", large.alias("large")), "entity").select("entity", "core", "cid", "is_eval", "large")
+    cells = placed.where("not large").select(F.pmod(F.xxhash64("entity"), F.lit(shards)).alias("cell"), "entity", "core", "cid", "is_eval")
+    hits = cells.groupBy("cell").applyInPandas(lambda pdf: _scan_cell(pdf), _FOUND)
+    if sizes.where(large).limit(1).count():
+        hits = hits.unionByName(large_pairs(placed.where("large").drop("large")))
+    hits = cut(hits.withColumn("pair", F.concat_ws("|", "eval_cid", "train_cid")))
     # a slip is far rarer than the word it stands for
     counts = classes.select(F.explode(F.split("core", " ")).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
     slips = hits.where(F.size("slips") > 0).select("pair", F.explode("slips").alias("s")).select("pair", "s.a", "s.b")

@@ -358,6 +358,36 @@ def test_p3_coverage_is_of_merged_intervals_in_place():
     assert p.coverage(0, "abcdefghijklmnop", 2) == 1.0 and p.coverage(0, "opmnklijghefcdab", 2) == 0.25 and p.coverage(0, "abcdefgh--------", 2) == 0.5 and p.coverage(0, "", 2) == 0.0
 
 
+def test_p3_keys_lose_no_pair_of_two_slips():
+    """Any two mistyped, lost, added or swapped letters leave a key of the passage to the training text, at every length."""
+    rng, abc = random.Random(5), "abcdeghiklmnopqrstuvxy"
+    row, zero = lambda t: np.frombuffer(t.encode("utf-32-le"), np.uint32).reshape(1, -1), np.zeros(1, np.uint64)
+
+    def slip(t):
+        i, kind = rng.randrange(len(t)), rng.randrange(4)
+        return t[:i] + (rng.choice(abc) + t[i + 1 :], t[i + 1 :], rng.choice(abc) + t[i:], t[i : i + 2][::-1] + t[i + 2 :])[kind]
+
+    for n in [*range(2, 16), *range(16, 60, 5)]:
+        for _ in range(12):
+            t = "".join(rng.choice(abc) for _ in range(n))
+            u = slip(slip(t) or "a")
+            if u and p3.osa(t, u, 2) <= 2:
+                assert {int(k[0]) for k in p3._keys(row(t), zero, True)} & {int(k[0]) for k in p3._keys(row(u), zero, False)}, (t, u)
+                assert (int(p3._letters_of(row(t))[0]) ^ int(p3._letters_of(row(u))[0])).bit_count() <= 4
+
+
+def test_p3_a_large_entity_does_not_multiply(spark):
+    """Texts of one entity meet by keys: few of all pairs of its texts go to the check."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("bcdghklmnt") + rng.choice("aeiouy") for _ in range(2)) for _ in range(200)]
+    rows = [("e", "noi sinh cua " + " ".join(rng.choice(words) for _ in range(5)) + " la gi", f"c{i}", i % 5 == 0) for i in range(2000)]
+    rows += [("e", rows[0][1].replace("sinh", "sing"), "near", False)]
+    df = spark.createDataFrame(rows, "entity string, core string, cid string, is_eval boolean")
+    assert ("c0", "near") in {(r["eval_cid"], r["train_cid"]) for r in p3.large_pairs(df).collect()}
+    keyed = df.withColumn("id", F.xxhash64("cid")).withColumn("salt", F.lit(7).cast("long"))
+    assert p3.near_pairs(keyed).count() < 2000  # of 640,000
+
+
 def test_p3_empty_and_report(spark, overlap_case):
     q, m = overlap_case
     assert p3.found(empty(q), m).count() == 0 == p3.found(q, empty(m)).count()
