@@ -450,3 +450,25 @@ def test_question_pass_ablations(spark, sf_dir):
     base = {r["qid"]: (r["rank"], round(r["loss"], 6)) for r in tn.question_pass(q, f, pool, tables).collect()}
     plain = {r["qid"]: (r["rank"], round(r["loss"], 6)) for r in tn.question_pass(q, f, pool, tables, drop_facts=True).collect()}
     assert base and base.keys() == plain.keys() and base != plain and all(r >= 1 and x >= 0 for r, x in base.values())
+
+
+def test_scores_by_cell_equal_scores_by_entity(spark):
+    """Every entity counts, but scores are taken once per cell: 9 cells hold 9 million entities here."""
+    import numpy as np
+
+    from loomgraph.operators import training as tn
+
+    tables = tn.start_tables(spark, 4)
+    ids = [0, 1, 6401, 12802, 100_000, 200_001, 300_002, 409_598, 409_599]
+    cells = spark.createDataFrame([(c, 1_000_000 + i) for i, c in enumerate(ids)], "cell int, n long")
+    x = [[0.5, -0.25, 0.125, 1.0], [0.0, 0.0, 0.0, 0.0], [-1.0, 0.3, 0.7, 0.2]]
+    goal = spark.createDataFrame([(f"q{i}", v, ids[3 * i]) for i, v in enumerate(x)], "qid string, x array<double>, cell int")
+    got = {r["qid"]: r for r in tn.cell_scores(goal, cells, tables, block=1).collect()}
+    rows = {k: np.array([r["vec"] for r in sorted(t.collect(), key=lambda r: r["id"])]) for k, t in tables.items()}
+    ev = [rows["E_x"][c // 6400] + rows["E_y"][c // 100 % 64] + rows["E_t"][c % 100] for c in ids]
+    for i, v in enumerate(x):
+        s = [round(float(np.dot(v, e)), 9) for e in ev]
+        mine = s[3 * i]
+        assert got[f"q{i}"]["better"] == sum(1_000_000 + k for k, z in enumerate(s) if z > mine)
+        assert sorted(got[f"q{i}"]["ties"]) == [c for c, z in zip(ids, s) if z == mine]
+        assert abs(got[f"q{i}"]["loss"] - min(np.log(sum((1_000_000 + k) * np.exp(z - mine) for k, z in enumerate(s))), 27.631021115928547)) < 1e-6
