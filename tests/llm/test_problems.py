@@ -98,6 +98,16 @@ def test_p1_keeps_the_trusted_record(spark, questions, files):
     assert p1.survivors(empty(questions), empty(files), iterations=1).records.count() == 0
 
 
+def test_p1_found_runs_no_stage_without_effect(spark, questions, files, monkeypatch):
+    """The ranks decide which record p1_found keeps; a model that cannot change a row is not fitted."""
+    from loomgraph.llm import queries
+
+    want = {r["qid"] for r in p1.survivors(questions, files, ranked=True, iterations=1).chosen.collect()}
+    monkeypatch.setattr(p1, "fit", lambda *a: pytest.fail("fitted"))
+    monkeypatch.setattr(queries, "table", lambda spark, d, name: {"questions": questions, "source_files": files}[name])
+    assert {r["qid"] for r in queries.queries()["p1_found"](spark, "").collect()} == want and want
+
+
 def test_p1_multi_valued_fields_keep_every_true_value(spark, files):
     rows = [q_row(f"a{i}", i, f"câu {i}?", entity=f"E{i}", source="good") for i in range(60)] + [q_row(f"b{i}", i, f"câu {i}?", entity=f"E{i}", source="also") for i in range(60)]
     rows += [q_row(f"c{i}", i, f"câu {i}?", entity=f"X{i}", source="bad") for i in range(40)] + [q_row("d", 0, "câu 0?", entity="F0", source="good"), q_row("e", 0, "câu 0?", entity="F0", source="also")]
