@@ -237,6 +237,64 @@ def test_resolve_equals_nested_loop(spark):
     assert got == {"Hà Nội": (9.0, "exact"), "thành phố Hà Nội": (9.0, "contains"), "Hu": (2.0, "contains"), "xyz": (14.0583, "default"), "": (9.0, "contains"), "Lan Anh": (3.0, "contains")}
 
 
+def test_resolve_equals_nested_loop_on_many_texts(spark):
+    """Texts of few syllables, so that nearly all share their parts; one label is blank and thus within every key."""
+    import random
+
+    rng, parts = random.Random(3), ["an", "hà", "nội", "trận ", "ế", "ß", "l", "đ🙂", " "]
+    word = lambda n: "".join(rng.choice(parts) for _ in range(n))
+    facts = [(i, word(rng.randint(2, 7)), float(i), 1.0, word(rng.randint(2, 7)), i + 0.5, 2.0) for i in range(300)]
+    names = sorted({word(rng.randint(1, 9)) for _ in range(400)})
+
+    def run(facts):
+        rows, index = sorted((2 * f[0] + s, f[1 + 3 * s].strip(" ").lower(), f[2 + 3 * s]) for f in facts for s in (0, 1)), {}
+        for pos, key, lat in rows:
+            index[key] = (index.get(key, (pos,))[0], lat)
+        want = {}
+        for e in names:
+            key = e.strip(" ").lower()
+            near = [v for k, v in index.items() if k in key or key in k]
+            want[e] = (index[key][1], "exact") if key in index else (min(near)[1], "contains") if near else (14.0583, "default")
+        idx = visual.label_index(spark.createDataFrame(facts, "fact_id long, h_label string, l_h_lat double, l_h_lon double, t_label string, l_t_lat double, l_t_lon double"))
+        got = {r["entity"]: (r["lat"], r["how"]) for r in visual.resolve(spark.createDataFrame([(e,) for e in names], "entity string"), idx).collect()}
+        assert got == want
+
+    run([f for f in facts if f[1].strip(" ") and f[4].strip(" ")])
+    run([*facts, (-1, " ", 7.0, 7.0, "  ", 8.0, 8.0)])
+
+
+def test_pieces_are_whole_patterns(spark):
+    """Only parts of a text that are patterns leave the task, and all of them where the filter is far too small."""
+    texts = spark.createDataFrame([(i, "trận đánh ở xã số %d" % i) for i in range(500)] + [(500, None), (501, "")], "n long, text string")
+    patterns = spark.createDataFrame([("xã số %d" % i,) for i in range(0, 5000, 7)] + [("ở",), ("đánh ở huyện",)], "p string")
+    has = {r["p"] for r in patterns.collect()}
+    want = {(r["n"], t) for r in texts.collect() if r["text"] for t in has if t in r["text"]}
+    sent = [(r["n"], r["piece"]) for r in visual.with_pieces(texts, "text", patterns).collect()]
+    assert {x for x in sent if x[1] in has} == want and len(sent) < len(want) * 1.1
+    full = visual.with_pieces(texts, "text", spark.createDataFrame([(f"{i:x}",) for i in range(40_000)], "p string").union(patterns), most=1 << 15).collect()
+    assert {(r["n"], r["piece"]) for r in full if r["piece"] in has} >= want
+
+
+def test_resolve_shuffles_no_parts_of_texts(spark):
+    """Labels and entities are made of the same words: what is shuffled stays in proportion to the texts, however many share their parts."""
+    sc, jvm = spark.sparkContext, spark.sparkContext._jvm
+
+    def written():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    old = written()
+    facts = spark.range(1000).selectExpr("id as fact_id", "concat('chiến dịch sông ', id, ' lần thứ nhất') as h_label", "1D as l_h_lat", "1D as l_h_lon", "cast(null as string) as t_label", "1D as l_t_lat", "1D as l_t_lon")
+    ents = spark.range(1000).selectExpr("concat('dịch sông ', id, ' lần thứ hai') as entity")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {r["how"] for r in visual.resolve(ents, visual.label_index(facts)).collect()} == {"default"}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(n for i, n in written().items() if i not in old) < 30 * 2000
+
+
 # calendar
 @pytest.mark.parametrize(("day", "want"), [("2024-02-10", (1, 1, 2024, 0, "Giáp Thìn")), ("2023-03-22", (1, 2, 2023, 1, "Quý Mão")), ("2020-05-23", (1, 4, 2020, 1, "Canh Tý")), ("2025-07-25", (1, 6, 2025, 1, "Ất Tỵ")), ("2023-01-22", (1, 1, 2023, 0, "Quý Mão")), ("2000-02-05", (1, 1, 2000, 0, "Canh Thìn")), ("2023-12-31", (19, 11, 2023, 0, "Quý Mão"))])
 def test_lunar_dates(spark, day, want):
