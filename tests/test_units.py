@@ -510,6 +510,35 @@ def test_question_pass_ablations(spark, sf_dir):
     assert base and base.keys() == plain.keys() and base != plain and all(r >= 1 and x >= 0 for r, x in base.values())
 
 
+def test_scores_that_single_precision_cannot_tell_apart(spark):
+    """Cells on both sides of the goal's score by 1e-8, with more entities than single precision counts."""
+    from loomgraph.operators import training as tn
+
+    row = lambda rows: spark.createDataFrame(rows, "id int, vec array<double>")
+    tables = {"E_x": row([(0, [100.0]), (1, [100.00000001]), (2, [99.99999999]), (3, [100.0000000001])]), "E_y": row([(0, [0.0])]), "E_t": row([(0, [0.0])])}
+    cells = spark.createDataFrame([(0, 5), (1, 33_554_433), (2, 7), (3, 11)], "cell int, n long")
+    goal = spark.createDataFrame([("q", [1.0], 0)], "qid string, x array<double>, cell int")
+    r = tn.cell_scores(goal, cells, tables).first()
+    assert (r["better"], sorted(r["ties"])) == (33_554_433, [0, 3])
+
+
+def test_evaluation_reads_questions_twice(spark, sf_dir):
+    """Once for the facts and once for the questions asked; both are kept."""
+    from loomgraph.plans import model
+
+    sc, jvm = spark.sparkContext, spark.sparkContext._jvm
+
+    def read():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).inputRecords() for i in range(stages.size()) if stages.apply(i).inputRecords() >= rows}
+
+    rows = spark.read.parquet(f"{sf_dir}/questions.parquet").count()
+    old = read()
+    model.book.queries["model_evaluate"](spark, sf_dir).collect()
+    assert sum(n for i, n in read().items() if i not in old) == 2 * rows
+
+
 def test_scores_by_cell_equal_scores_by_entity(spark):
     """Every entity counts, but scores are taken once per cell: 9 cells hold 9 million entities here."""
     import numpy as np
